@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from featherline.functions.nulls import standard_error
 from featherline.operators.quantiles import group_quantiles, large_quantiles
-from featherline.operators.series import first_where
+from featherline.operators.series import first_where, neighbours
+from featherline.session import keep_table
 
 INSIDE, OUTSIDE = "Inside barrier", "Outside barrier"
 
@@ -71,6 +72,9 @@ def season_flight_stats(flights: DataFrame) -> DataFrame:
 
     `n_ids` counts an unknown landing as one further tag; `n_ids_known` does not.
     """
+    flights = keep_table(
+        flights.select("id", "season", "minutes_after_sunrise", "after_sunrise", "duration_hours")
+    )
     late = F.col("after_sunrise")
     minutes = F.when(late, F.col("minutes_after_sunrise"))
     per_tag = flights.groupBy("season", "id").agg(
@@ -207,9 +211,7 @@ def _few(groups: DataFrame, most: int = 100_000) -> bool:
 
 def half_bin(df: DataFrame, x: str, by: str) -> DataFrame:
     """Half the median step between neighbouring values of `x`, per group."""
-    from featherline.operators import series
-
-    steps = series.neighbours(df, {"_before": F.col(x)}, key=by, order=x)
+    steps = neighbours(df, {"_before": F.col(x)}, key=by, order=x)
     steps = steps.withColumn("_step", (F.col(x) - F.col("_before")).cast("double"))
     return large_quantiles(steps, [by], "_step", {"_median": 0.5}).select(
         by, (F.col("_median") / 2).alias("half_bin")

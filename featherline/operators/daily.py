@@ -55,9 +55,11 @@ def quiet_hours(merged: DataFrame, sunrise_hour: int = 4, sunset_hour: int = 16)
     ).drop("_prev", "_next")
 
 
-def daily_summary(merged: DataFrame, full_score: int = 30) -> DataFrame:
-    """One row per tag and day: flight minutes, daytime activity, mean position, stopover."""
-    hours = quiet_hours(merged)
+def summarise_hours(hours: DataFrame, full_score: int = 30) -> DataFrame:
+    """One row per tag and day: flight minutes, daytime activity, mean position, stopover.
+
+    Takes the output of `quiet_hours`.
+    """
     daytime, quiet, active = F.col("daytime"), F.col("quiet"), F.col("is_active")
     whole_stap = F.when(quiet & (F.col("stap_id") % 1 == 0), F.col("stap_id"))
     return (
@@ -200,10 +202,19 @@ def fill_season(flights: DataFrame) -> DataFrame:
     joined back.
     """
     by_day = flights.groupBy("id", "date").agg(F.max("season").alias("_season"))
-    w = Window.partitionBy("id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = by_day.withColumn("_season", F.last("_season", ignorenulls=True).over(w))
+    w = (
+        Window.partitionBy("id")
+        .orderBy(F.col("date").asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    filled = by_day.select(
+        F.col("id").alias("_id"),
+        F.col("date").alias("_date"),
+        F.last("_season", ignorenulls=True).over(w).alias("_season"),
+    )
+    same_day = (F.col("id") == F.col("_id")) & F.col("date").eqNullSafe(F.col("_date"))
     return (
-        flights.join(filled, ["id", "date"], "left")
+        flights.join(filled, same_day, "left")
         .withColumn("season", F.col("_season"))
-        .drop("_season")
+        .drop("_id", "_date", "_season")
     )

@@ -6,12 +6,30 @@ from pyspark.sql import DataFrame
 
 from featherline import study
 from featherline.operators import daily, rules
-from featherline.operators.series import MAX_ROWS, split_hot
+from featherline.operators.series import MAX_ROWS, split_hot, without_segments
+from featherline.plans import flight_plan
 
 
-def summarise_days(merged: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The daily table before periods are added; `merged` holds hours with positions."""
-    return daily.daily_summary(split_hot(merged, max_rows=max_rows))
+def hours_with_positions(
+    hourly: DataFrame,
+    path: DataFrame,
+    mask: tuple[str, str] = study.MASK,
+    cuts: DataFrame | None = None,
+    max_rows: int | None = MAX_ROWS,
+) -> DataFrame:
+    """Flight hours with positions and daytime flags.
+
+    Positions are joined first, so that the windows of the flight rules and of
+    the daytime rules share one shuffle by tag.
+    """
+    rows = daily.join_path(split_hot(hourly, max_rows=max_rows), path)
+    rows = flight_plan.hourly_flights(rows, mask, cuts=cuts, max_rows=None, keep_segments=True)
+    return without_segments(daily.quiet_hours(rows))
+
+
+def summarise_days(merged: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """The daily table before periods are added; `merged` holds flight hours with positions."""
+    return daily.summarise_hours(daily.quiet_hours(split_hot(merged, max_rows=max_rows)))
 
 
 def days_with_periods(

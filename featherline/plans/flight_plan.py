@@ -14,17 +14,21 @@ def hourly_flights(
     mask: tuple[str, str] = study.MASK,
     pressure: DataFrame | None = None,
     cuts: DataFrame | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
+    keep_segments: bool = False,
 ) -> DataFrame:
-    """Hours with flight number, adjusted times and the next hour's landing."""
+    """Hours with flight number, adjusted times and the next hour's landing.
+
+    Further columns of `hourly` are passed through.
+    """
     df = split_hot(hourly, max_rows=max_rows)
     df = activity.flight_hours(activity.season_mask(activity.with_activity(df), *mask))
     df = flights.adjust_times(flights.group_edges(flights.flight_groups(df)))
-    if pressure is not None:
-        df = flights.attach_pressure(df, pressure)
     if cuts is not None:
         df = rules.cut(df, cuts)
-    return without_segments(flights.with_next_landing(df))
+    df = flights.with_next_landing(df)
+    df = df if keep_segments else without_segments(df)
+    return df if pressure is None else flights.attach_pressure(df, pressure)
 
 
 def flight_periods(

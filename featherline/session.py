@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,16 @@ def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several later steps read."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Write a large intermediate once, as Parquet in the shared folder, and read it back.
+
+    Several consumers then scan only the columns they use, and a lost executor
+    costs no recomputation.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
