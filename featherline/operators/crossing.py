@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from featherline.functions.nulls import standard_error
 from featherline.operators.quantiles import group_quantiles, large_quantiles
 from featherline.operators.series import first_where, neighbours
-from featherline.session import keep_table
+from featherline.session import keep
 
 INSIDE, OUTSIDE = "Inside barrier", "Outside barrier"
 
@@ -72,7 +72,7 @@ def season_flight_stats(flights: DataFrame) -> DataFrame:
 
     `n_ids` counts an unknown landing as one further tag; `n_ids_known` does not.
     """
-    flights = keep_table(
+    flights = keep(
         flights.select("id", "season", "minutes_after_sunrise", "after_sunrise", "duration_hours")
     )
     late = F.col("after_sunrise")

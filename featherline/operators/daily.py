@@ -6,7 +6,7 @@ tag's days stay small for any number of hourly rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featherline.functions.nulls import if_known, lenient_sum, strict_sum
@@ -122,11 +122,19 @@ def add_period(daily: DataFrame, by_day: DataFrame) -> DataFrame:
     )
 
 
+def _nearest(column: str, up_to: int) -> tuple[Column, Column]:
+    """Last known value before and next known value after a day; 0 includes the day itself."""
+
+    def towards(order: Column) -> Column:
+        w = Window.partitionBy("id").orderBy(order).rowsBetween(Window.unboundedPreceding, up_to)
+        return F.last(column, ignorenulls=True).over(w)
+
+    return towards(F.col("date").asc()), towards(F.col("date").desc())
+
+
 def fill_same_run(daily: DataFrame) -> DataFrame:
     """Fill days between two known days of the same period, with no other period between them."""
-    w = Window.partitionBy("id").orderBy("date")
-    before = F.last("period", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("period", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before, after = _nearest("period", -1)
     return daily.withColumn(
         "period", F.coalesce(F.col("period"), F.when(before == after, before))
     )
@@ -154,9 +162,7 @@ def fill_runs_by_join(daily: DataFrame) -> DataFrame:
 
 def fill_stationary(daily: DataFrame) -> DataFrame:
     """Days between migrations get the odd number between their neighbours' even numbers."""
-    w = Window.partitionBy("id").orderBy("date")
-    after = F.first("period", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last("period", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before, after = _nearest("period", 0)
     return daily.withColumn("period", F.coalesce(F.col("period"), after - 1, before + 1))
 
 

@@ -237,12 +237,13 @@ def map_to_path(cells: DataFrame, stap_rows: DataFrame | None = None) -> DataFra
     mid = (F.unix_micros(F.col("start").cast("timestamp")) + F.unix_micros(F.col("end").cast("timestamp"))) / 2
     rows = stap_rows.select("id", "stap_id", mid.alias("_mid")).join(best, ["id", "stap_id"], "left")
     spot = F.when(F.col("lat").isNotNull(), F.struct("_mid", *CELL))
-    w = Window.partitionBy("id").orderBy("stap_id")
+
+    def nearest(order: Column) -> Column:
+        w = Window.partitionBy("id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(spot, ignorenulls=True).over(w)
+
     rows = rows.withColumns(
-        {
-            "_a": F.last(spot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first(spot, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
+        {"_a": nearest(F.col("stap_id").asc()), "_b": nearest(F.col("stap_id").desc())}
     )
     part = F.coalesce(
         F.try_divide(F.col("_mid") - F.col("_a._mid"), F.col("_b._mid") - F.col("_a._mid")), F.lit(0.0)

@@ -183,19 +183,20 @@ def fill_up(
 
 
 def _fill(df: DataFrame, column: str, key: str, order: str, out: str, forward: bool) -> DataFrame:
+    # A frame that reaches to the end of the series is rebuilt for every row, so
+    # filling upwards walks the rows in reverse instead.
     x = F.col(column)
-    up_to_here = (Window.unboundedPreceding, 0)
-    pick = F.last if forward else F.first
-    frame = up_to_here if forward else (0, Window.unboundedFollowing)
-    filled = pick(x, ignorenulls=True).over(_within(df, key).orderBy(order).rowsBetween(*frame))
+    along = F.col(order).asc() if forward else F.col(order).desc()
+    upto = (Window.unboundedPreceding, 0)
+    filled = F.last(x, ignorenulls=True).over(_within(df, key).orderBy(along).rowsBetween(*upto))
     if SEGMENT not in df.columns:
         return df.withColumn(out, filled)
     known_at = F.when(x.isNotNull(), F.col(order))
     nearest = F.max_by(x, known_at) if forward else F.min_by(x, known_at)
-    outside = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    rank = Window.partitionBy(key).orderBy(SEGMENT).rowsBetween(*outside)
+    rank = F.col(SEGMENT).asc() if forward else F.col(SEGMENT).desc()
+    earlier = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     edges = _segment_table(df, key, _carry=nearest)
-    edges = edges.withColumn("_carry", pick("_carry", ignorenulls=True).over(rank))
+    edges = edges.withColumn("_carry", F.last("_carry", ignorenulls=True).over(earlier))
     return (
         df.withColumn(out, filled)
         .join(F.broadcast(keep(edges)), [key, SEGMENT], "left")

@@ -3,7 +3,7 @@
 Nodes are cells (``id, stap_id, lat, lon, likelihood``), edges lead from the
 cells of one period to the reachable cells of the next.  The path and the
 marginal map go through the periods one by one, for all tags at once; every
-stage is a shuffle join cut off by a checkpoint.
+stage is a shuffle join whose result is written down.
 """
 
 from __future__ import annotations
@@ -95,9 +95,10 @@ def most_likely(cells: DataFrame, weighted: DataFrame) -> DataFrame:
     nodes = keep(
         cells.where(F.col("likelihood") > 0).select(
             "id", "stap_id", "lat", "lon", F.log("likelihood").alias("_own")
-        )
+        ),
+        by="stap_id",
     )
-    links = keep(weighted.where(F.col("weight") > 0))
+    links = keep(weighted.where(F.col("weight") > 0), by="stap_id")
     first, last = _stages(nodes)
     ends = nodes.groupBy("id").agg(F.min("stap_id").alias("_from"), F.max("stap_id").alias("_to"))
     none = F.lit(None).cast("double")
@@ -164,8 +165,11 @@ def marginal(cells: DataFrame, weighted: DataFrame) -> DataFrame:
     Sums over all paths from the front and from the back; each stage is
     normalised, so long tracks do not run out of range.
     """
-    nodes = keep(cells.where(F.col("likelihood") > 0).select("id", "stap_id", "lat", "lon", "likelihood"))
-    links = keep(weighted.where(F.col("weight") > 0))
+    nodes = keep(
+        cells.where(F.col("likelihood") > 0).select("id", "stap_id", "lat", "lon", "likelihood"),
+        by="stap_id",
+    )
+    links = keep(weighted.where(F.col("weight") > 0), by="stap_id")
     first, last = _stages(nodes)
     ends = nodes.groupBy("id").agg(F.min("stap_id").alias("_from"), F.max("stap_id").alias("_to"))
     marked = keep(nodes.join(ends, "id"))

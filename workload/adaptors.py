@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from featherline.functions.times import at_hour
 from featherline.operators import daily, flights, rules
 from featherline.plans import daily_plan, flight_plan
-from featherline.session import keep_table
+from featherline.session import keep
 
 MASK = ("01-10", "01-12")
 EVENT_PERIODS = {"gap_days": 3, "window_days": 2, "min_flights": 3, "min_hours": 2.5, "last_spring_yday": 12}
@@ -113,7 +113,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`merged`, written once for queries that read it for flights and for days."""
-    return keep_table(merged(spark, sf_dir))
+    return keep(merged(spark, sf_dir))
 
 
 def days_of(hours: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featherline.operators import activity, crossing, daily, mixed_model, quantiles
-from featherline.session import keep_table
+from featherline.session import keep
 from workload import adaptors, steps  # noqa: F401
 from workload.adaptors import rounded, table
 from workload.registry import query, step
@@ -463,7 +463,7 @@ FROM day_period WHERE lat IS NOT NULL AND daytime_activity_percentage IS NOT NUL
 """,
 )
 def daily_box_stats(spark, sf_dir):
-    days = keep_table(
+    days = keep(
         crossing.with_barrier(adaptors.days_with_periods(spark, sf_dir), *BAND).select(
             "barrier", "daytime_activity_percentage"
         )
