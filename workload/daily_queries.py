@@ -352,7 +352,7 @@ def activity_by_latitude_and_stopover(spark, sf_dir):
 @query(
     "activity_by_latitude_bin",
     """
-SELECT round_even(lat / 3, 0) * 3 AS lat_bin, round(avg(mean_activity), 6) + 0.0::DOUBLE AS mean_across,
+SELECT round_even(lat / 3, 0) * 3 + 0.0::DOUBLE AS lat_bin, round(avg(mean_activity), 6) + 0.0::DOUBLE AS mean_across,
        round(stddev_samp(mean_activity) / sqrt(count(*)), 6) AS se_across
 FROM lat_profile GROUP BY ALL
 """,

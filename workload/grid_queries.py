@@ -388,42 +388,50 @@ def movement_edges(spark, sf_dir):
 
 
 STAPS = range(1, 6)
-# Best score into every node, stage by stage; a tag's first stage is 1 and its last 5
-# in the given data wherever edges connect them.
-step(
-    "score1",
-    "SELECT id, lat, lon, ln(likelihood) AS score FROM pruned WHERE stap_id = 1",
-)
-for k in list(STAPS)[1:]:
-    step(
-        f"score{k}",
-        f"""
+step("track_end", "SELECT id, min(stap_id) AS lo, max(stap_id) AS hi FROM pruned GROUP BY id")
+
+
+def starts_sql(k: int, border: str, value: str) -> str:
+    return (
+        f"SELECT n.id, n.lat, n.lon, {value} FROM pruned n JOIN track_end e ON n.id = e.id"
+        f" AND e.{border} = {k} AND n.stap_id = {k}"
+    )
+
+
+# Best score into every node, stage by stage.
+for k in STAPS:
+    into = f"""
+UNION ALL
 SELECT n.id, n.lat, n.lon, max(s.score + ln(w.weight)) + any_value(ln(n.likelihood)) AS score
 FROM pruned n JOIN weighted w ON n.id = w.id AND n.stap_id = w.stap_id + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
 JOIN score{k - 1} s ON s.id = w.id AND s.lat = w.lat1 AND s.lon = w.lon1
 WHERE n.stap_id = {k} GROUP BY ALL
-""",
-    )
+"""
+    step(f"score{k}", starts_sql(k, "lo", "ln(n.likelihood) AS score") + (into if k > 1 else ""))
+step(
+    "best_score",
+    " UNION ALL ".join(
+        f"SELECT s.id, max(s.score) AS score FROM score{k} s JOIN track_end e ON s.id = e.id AND e.hi = {k} GROUP BY s.id"
+        for k in STAPS
+    ),
+)
 
 
 @query(
     "most_likely_score",
-    """
-SELECT id, round(max(score), 5) AS score FROM score5 GROUP BY id
-""",
+    "SELECT id, round(score, 5) AS score FROM best_score",
 )
 def most_likely_score(spark, sf_dir):
     cells = _pruned(spark, sf_dir)
     path = trellis.most_likely(cells, _edges(spark, sf_dir, cells))
-    return path.where(F.col("stap_id") == 5).select("id", rounded("score", 5).alias("score"))
+    last = path.groupBy("id").agg(F.max_by("score", "stap_id").alias("score"))
+    return last.withColumn("score", rounded("score", 5))
 
 
 # The path's own score, added up from its cells and edges, must be the best score.
 @query(
     "most_likely_path_score",
-    """
-SELECT id, round(max(score), 5) AS path_score FROM score5 GROUP BY id
-""",
+    "SELECT id, round(score, 5) AS path_score FROM best_score",
 )
 def most_likely_path_score(spark, sf_dir):
     cells = _pruned(spark, sf_dir)
@@ -440,28 +448,24 @@ def most_likely_path_score(spark, sf_dir):
     return own.unionByName(steps).groupBy("id").agg(rounded(F.sum("v"), 5).alias("path_score"))
 
 
-step("ahead1", "SELECT id, lat, lon, likelihood AS p FROM pruned WHERE stap_id = 1")
-step("back5", "SELECT id, lat, lon, 1.0::DOUBLE AS p FROM pruned WHERE stap_id = 5")
-for k in list(STAPS)[1:]:
-    step(
-        f"ahead{k}",
-        f"""
+for k in STAPS:
+    into = f"""
+UNION ALL
 SELECT n.id, n.lat, n.lon, sum(s.p * w.weight) * any_value(n.likelihood) AS p
 FROM pruned n JOIN weighted w ON n.id = w.id AND n.stap_id = w.stap_id + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
 JOIN ahead{k - 1} s ON s.id = w.id AND s.lat = w.lat1 AND s.lon = w.lon1
 WHERE n.stap_id = {k} GROUP BY ALL
-""",
-    )
-for k in reversed(list(STAPS)[:-1]):
-    step(
-        f"back{k}",
-        f"""
+"""
+    step(f"ahead{k}", starts_sql(k, "lo", "n.likelihood AS p") + (into if k > 1 else ""))
+for k in reversed(STAPS):
+    into = f"""
+UNION ALL
 SELECT w.id, w.lat1 AS lat, w.lon1 AS lon, sum(s.p * w.weight * n.likelihood) AS p
 FROM weighted w JOIN back{k + 1} s ON s.id = w.id AND s.lat = w.lat2 AND s.lon = w.lon2
 JOIN pruned n ON n.id = w.id AND n.stap_id = {k + 1} AND n.lat = w.lat2 AND n.lon = w.lon2
 WHERE w.stap_id = {k} GROUP BY ALL
-""",
-    )
+"""
+    step(f"back{k}", starts_sql(k, "hi", "1.0::DOUBLE AS p") + (into if k < 5 else ""))
 
 
 @query(
