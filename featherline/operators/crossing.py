@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from featherline.functions.nulls import standard_error
 from featherline.operators.quantiles import group_quantiles, large_quantiles
-from featherline.operators.series import first_where, neighbours
+from featherline.operators.series import (
+    MAX_ROWS,
+    first_where,
+    neighbours,
+    split_hot,
+    without_segments,
+)
 from featherline.session import keep
 
 INSIDE, OUTSIDE = "Inside barrier", "Outside barrier"
@@ -166,6 +172,7 @@ def activity_by_lat(daily: DataFrame, per_stopover: bool = False) -> DataFrame:
     y = F.col("daytime_activity_percentage")
     groups = daily.groupBy("id", "lat").agg(
         F.count(F.lit(1)).alias("n_rows"),
+        F.lit(1).cast("bigint").alias("n_birds"),
         F.avg(y).alias("mean_activity"),
         standard_error(y).alias("se"),
         *([F.collect_set(F.struct("stopover_id")).alias("_stops")] if per_stopover else []),
@@ -173,7 +180,7 @@ def activity_by_lat(daily: DataFrame, per_stopover: bool = False) -> DataFrame:
     if not per_stopover:
         return groups
     return groups.withColumn("_stop", F.explode("_stops")).select(
-        "id", "lat", "n_rows", "mean_activity", "se", F.col("_stop.stopover_id").alias("stopover_id")
+        "id", "lat", "n_rows", "n_birds", "mean_activity", "se", F.col("_stop.stopover_id").alias("stopover_id")
     )
 
 
@@ -186,8 +193,15 @@ def lat_bins(by_lat: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def box_stats(daily: DataFrame, by: str, y: str) -> DataFrame:
-    """Quartiles and whisker ends (the last value within 1.5 quartile ranges) per class."""
+def box_stats(
+    daily: DataFrame, by: str, y: str, limits: tuple[float, float] | None = None
+) -> DataFrame:
+    """Quartiles and whisker ends (the last value within 1.5 quartile ranges) per class.
+
+    Values outside the drawn `limits` are left out before anything is computed.
+    """
+    if limits is not None:
+        daily = daily.where(F.col(y).between(*limits))
     boxes = large_quantiles(daily, [by], y, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(y).between(F.col("q1") - reach, F.col("q3") + reach)
@@ -209,9 +223,10 @@ def _few(groups: DataFrame, most: int = 100_000) -> bool:
     return groups.limit(most + 1).count() <= most
 
 
-def half_bin(df: DataFrame, x: str, by: str) -> DataFrame:
+def half_bin(df: DataFrame, x: str, by: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Half the median step between neighbouring values of `x`, per group."""
-    steps = neighbours(df, {"_before": F.col(x)}, key=by, order=x)
+    rows = split_hot(df, key=by, order=x, max_rows=max_rows)
+    steps = without_segments(neighbours(rows, {"_before": F.col(x)}, key=by, order=x))
     steps = steps.withColumn("_step", (F.col(x) - F.col("_before")).cast("double"))
     return large_quantiles(steps, [by], "_step", {"_median": 0.5}).select(
         by, (F.col("_median") / 2).alias("half_bin")

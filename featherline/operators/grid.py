@@ -16,6 +16,17 @@ from featherline.operators import series
 
 CELL = ["lat", "lon"]
 
+# Fixed values of the standard atmosphere: lapse rate in K/m and the exponent R * L / (g * M).
+LAPSE_RATE = 0.0065
+EXPONENT = 0.190263
+
+
+def _pressure_at(altitude: str) -> Column:
+    """Air pressure at another altitude above the same cell."""
+    rise = F.col(altitude) - F.col("altitude")
+    base = 1 - LAPSE_RATE * rise / F.col("temperature_2m")
+    return F.col("surface_pressure") * F.pow(base, F.lit(1 / EXPONENT))
+
 
 def staps(labelled: DataFrame, min_hours: float = 0, max_rows: int = series.MAX_ROWS) -> DataFrame:
     """Stationary periods: runs of rows without flight, with time span and inclusion flag.
@@ -75,10 +86,17 @@ def pressure_map(
 
     The error is the variance of the difference, so a constant altitude offset
     costs nothing.  A cell counts only if enough samples lie within `margin` of
-    its surface pressure.
+    the pressures between its lowest and highest ground; without the columns
+    ``altitude_min`` and ``altitude_max`` that is the surface pressure alone.
     """
-    cells = reanalysis.select("ts", *CELL, "surface_pressure")
+    low, high = F.col("surface_pressure"), F.col("surface_pressure")
+    if {"altitude_min", "altitude_max"} <= set(reanalysis.columns):
+        low, high = _pressure_at("altitude_max"), _pressure_at("altitude_min")
+    cells = reanalysis.select(
+        "ts", *CELL, "surface_pressure", (low - margin).alias("_low"), (high + margin).alias("_high")
+    )
     difference = F.col("pressure_hpa") - F.col("surface_pressure")
+    in_range = F.col("pressure_hpa").between(F.col("_low"), F.col("_high"))
     matched = (
         pressure.select("id", "stap_id", F.col("date").alias("ts"), "pressure_hpa")
         .join(cells, "ts")
@@ -86,7 +104,7 @@ def pressure_map(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.var_pop(difference).alias("mse"),
-            F.avg((F.abs(difference) <= margin).cast("double")).alias("share_in_range"),
+            F.avg(in_range.cast("double")).alias("share_in_range"),
         )
     )
     fit = F.exp(-F.expr(weight) * F.col("n") * F.col("mse") / (2 * sd * sd))
@@ -262,11 +280,6 @@ def map_to_path(cells: DataFrame, stap_rows: DataFrame | None = None) -> DataFra
     )
 
 
-# Fixed values of the standard atmosphere: lapse rate in K/m and the exponent R * L / (g * M).
-LAPSE_RATE = 0.0065
-EXPONENT = 0.190263
-
-
 def pressure_path(path: DataFrame, pressure: DataFrame, reanalysis: DataFrame) -> DataFrame:
     """Surface pressure along a path of cells, and the altitude the tag's own pressure means there."""
     rows = pressure.join(path, ["id", "stap_id"]).withColumnRenamed("date", "ts")

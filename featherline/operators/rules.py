@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featherline.functions.nulls import among
@@ -98,6 +98,12 @@ def with_season(
     return df.withColumn(out, name)
 
 
+def season_rank(seasons: dict[str, list[int]], column: str = "season") -> Column:
+    """Place of a season in the order in which `seasons` names them, for sorting."""
+    levels = F.array(*[F.lit(s) for s in seasons])
+    return F.array_position(levels, F.col(column))
+
+
 def keep_days(df: DataFrame, first: int, last: int, exclude=()) -> DataFrame:
     """Keep a day-of-year range and leave out single tags."""
     inside = F.dayofyear("date").between(first, last)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from featherline.functions.times import micros
 from featherline.session import keep
@@ -35,7 +36,7 @@ def split_hot(
     """
     if max_rows is None or SEGMENT in df.columns:
         return df
-    at = micros(F.col(order))
+    at = _position(df, order)
     counts = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
     )
@@ -46,11 +47,12 @@ def split_hot(
     pieces = F.ceil(F.col("_n") / F.lit(limit)) * BUCKETS_PER_SEGMENT
     hot = keep(
         counts.where(F.col("_n") > limit).select(
-            key, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces).alias("_width")
+            key, "_lo", ((F.col("_hi") - F.col("_lo")) / pieces).alias("_width")
         )
     )
+    step = F.floor(F.coalesce(F.try_divide(at - F.col("_lo"), F.col("_width")), F.lit(0.0)))
     marked = df.join(F.broadcast(hot), key, "left").withColumn(
-        "_bucket", F.floor((at - F.col("_lo")) / F.col("_width"))
+        "_bucket", F.when(F.col("_lo").isNotNull(), step)
     )
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = keep(
@@ -68,6 +70,12 @@ def split_hot(
     )
 
 
+def _position(df: DataFrame, order: str) -> Column:
+    """Place on the ordering axis as a number; numbers stand for themselves."""
+    x = F.col(order)
+    return (x if isinstance(df.schema[order].dataType, NumericType) else micros(x)).cast("double")
+
+
 def without_segments(df: DataFrame) -> DataFrame:
     return df.drop(SEGMENT)
 

@@ -1,4 +1,4 @@
-"""Values of the thrush nightingale study the library grew from.
+"""Values of the field study the library serves.
 
 These are fixed values: they must equal the study's own for its results to be
 reproduced.  Every operator takes them as arguments.
@@ -34,7 +34,7 @@ DAILY_RECODES = [("AC2", 7.0, 7.0, 9.0)]
 # Fixed values: (tag, period, side kept, days added to the border).
 PERIOD_CUTS = [("ACA", 8.0, "until", 1), ("ACB", 8.0, "until", 1), ("AC2", 2.0, "from", 1)]
 
-# Season of each period.
+# Season of each period, in calendar order.
 FLIGHT_SEASONS = {"Autumn": [2, 3, 4, 5, 6, 7, 8], "Spring": [10, 11, 12]}
 DAILY_SEASONS = {
     "Breeding": [1, 13],
@@ -42,11 +42,11 @@ DAILY_SEASONS = {
     "Wintering": [9],
     "Spring": [10, 11, 12],
 }
-SEASON_RANK = {"Breeding": 1, "Autumn": 2, "Wintering": 3, "Spring": 4}
 
 # Barrier band in degrees north and the period that crosses it.
 AUTUMN_BARRIER = {"low": 18.0, "high": 37.0, "period": 4}
 SPRING_BARRIER = {"low": 12.0, "high": 30.0, "period": 12}
+SPRING_BOX_LIMITS = (0.0, 20.0)
 
 # Tags left out of the latitude profiles, and their days of the year.
 AUTUMN_PROFILE = {"first": 166, "last": 365, "exclude": ["90A"]}
@@ -57,14 +57,13 @@ DEFAULT_PARAMS = {
     "tag_set_map.extent": "5,60,-27,57",
     "tag_set_map.scale": "2",
     "tag_set_map.include_min_duration": "0",
-    "geopressure_map.max_sample": "600",
-    "geopressure_map.margin": "10",
-    "geopressure_map.sd": "0.8",
-    "geopressure_map.thr_mask": "0.9",
-    "geopressure_map.log_linear_pooling_weight": "ln(n)/n",
+    "pressure_map.max_sample": "600",
+    "pressure_map.margin": "10",
+    "pressure_map.sd": "0.8",
+    "pressure_map.thr_mask": "0.9",
+    "pressure_map.log_linear_pooling_weight": "ln(n)/n",
     "graph_create.thr_likelihood": "0.9",
     "graph_create.thr_gs": "150",
-    "bird_create.scientific_name": "Luscinia luscinia",
     "graph_set_movement.shape": "6",
     "graph_set_movement.scale": "7",
     "graph_set_movement.method": "gamma",
@@ -89,10 +88,10 @@ TAG_WINDOWS = {
 
 # Other parameters that differ from the default.
 TAG_PARAMS = {
-    "AC4": {"geopressure_map.sd": "0.9"},
+    "AC4": {"pressure_map.sd": "0.9"},
     "AC0": {
-        "geopressure_map.sd": "0.9",
-        "geopressure_map.max_sample": "1000",
+        "pressure_map.sd": "0.9",
+        "pressure_map.max_sample": "1000",
         "tag_set_map.extent": "7,46,-23,57",
         "tag_set_map.scale": "2",
     },

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from featherline import study
 from featherline.operators import crossing, daily, rules
 from featherline.operators.daily import quiet_hours, summarise_hours
+from featherline.plans.daily_plan import summarise_days
 from featherline.sources.inline import rule_table
 
 NOON = dt.datetime(2023, 9, 1, 12)
@@ -144,6 +145,27 @@ def test_seasons(spark):
     ]
 
 
+def test_seasons_sort_in_calendar_order(spark):
+    df = spark.createDataFrame([("Spring",), ("Breeding",), ("Wintering",), ("Autumn",)], "season string")
+    got = df.orderBy(rules.season_rank(study.DAILY_SEASONS)).collect()
+    assert [r.season for r in got] == ["Breeding", "Autumn", "Wintering", "Spring"]
+
+
+@pytest.mark.parametrize("max_rows", [20, 7])
+def test_daily_rows_of_a_split_tag(spark, max_rows):
+    rng = random.Random(9)
+    sun = NOON.replace(hour=5), NOON.replace(hour=19)
+    data = [
+        (tag, NOON + i * HOUR, rng.randint(0, 2), rng.randint(0, 2), float(rng.randint(0, 30)),
+         rng.choice([True, False, False, None]), 30, rng.random() * 50, 1.0, rng.choice([1.0, 1.5, 2.0]), *sun)
+        for tag, n in (("hot", 150), ("cold", 10)) for i in range(n)
+    ]
+    df = spark.createDataFrame(data, HOURS)
+    whole = summarise_days(df).drop("lat")
+    split = summarise_days(df, max_rows=max_rows).drop("lat")
+    assert whole.exceptAll(split).isEmpty() and split.exceptAll(whole).isEmpty()
+
+
 def test_season_is_carried_over_flights_outside_periods(spark):
     flights = rules.with_season(days(spark, [None, 2.0, None, 10.0, None]), study.FLIGHT_SEASONS)
     got = daily.fill_season(flights).orderBy("date").collect()

@@ -88,6 +88,25 @@ def test_pressure_map_ignores_a_constant_offset(spark):
     assert got[52.0].likelihood == 0.0
 
 
+def test_pressure_mask_allows_for_the_ground_of_a_cell(spark):
+    tag = spark.createDataFrame(
+        [("a", 1, NOON + dt.timedelta(hours=i), 900.0 + i % 2) for i in range(10)],
+        "id string, stap_id int, date timestamp, pressure_hpa double",
+    )
+    era = tag.select(F.col("date").alias("ts")).withColumns(
+        {
+            "lat": F.lit(50.0),
+            "lon": F.lit(10.0),
+            "surface_pressure": F.lit(1000.0),
+            "altitude": F.lit(100.0),
+            "temperature_2m": F.lit(288.0),
+        }
+    )
+    assert grid.pressure_map(tag, era).first().share_in_range == 0.0
+    hilly = era.withColumns({"altitude_min": F.lit(0.0), "altitude_max": F.lit(1100.0)})
+    assert grid.pressure_map(tag, hilly).first().share_in_range == 1.0
+
+
 @pytest.mark.parametrize("limit", [None, 10])
 def test_sample_cap_is_exact_and_even(spark, limit):
     df = spark.createDataFrame(

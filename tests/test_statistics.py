@@ -81,6 +81,7 @@ def test_box_whiskers_end_at_data(spark):
 def test_half_bin(spark):
     df = spark.createDataFrame([("a", x) for x in (0.0, 1.0, 2.0, 5.0)], "id string, x double")
     assert crossing.half_bin(df, "x", "id").first().half_bin == 0.5
+    assert crossing.half_bin(df, "x", "id", max_rows=1).first().half_bin == 0.5
 
 
 def simulate(spread: float, seed: int = 4):

@@ -125,13 +125,13 @@ def test_parameters_of_the_study(spark):
     table = rule_table(spark, study.param_rows(), schemas.PARAMS)
     resolved = params.resolve_params(table)
     got = {(r.id, r.key): (r.value, r.overridden) for r in resolved.collect()}
-    assert got["AC0", "geopressure_map.max_sample"] == ("1000", True)
-    assert got["DBA", "geopressure_map.max_sample"] == ("600", False)
+    assert got["AC0", "pressure_map.max_sample"] == ("1000", True)
+    assert got["DBA", "pressure_map.max_sample"] == ("600", False)
     assert got["AC0", "graph_create.thr_gs"] == ("150", False)
     assert ("default", "graph_create.thr_gs") not in got
     windows = {r.id: (r.crop_start, r.crop_end) for r in params.crop_windows(resolved).collect()}
     assert windows["91A"] == (dt.datetime(2022, 6, 15), dt.datetime(2023, 3, 12)) and len(windows) == 11
-    sds = {r.id: r.sd for r in params.number_param(resolved, "geopressure_map.sd", "sd").collect()}
+    sds = {r.id: r.sd for r in params.number_param(resolved, "pressure_map.sd", "sd").collect()}
     assert (sds["AC4"], sds["ACA"]) == (0.9, 0.8)
 
 

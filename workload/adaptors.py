@@ -27,6 +27,11 @@ CALENDAR_START = (1, 3)
 SEASONS = {"Breeding": [1, 7], "Autumn": [2, 3, 4], "Wintering": [5], "Spring": [6, 8]}
 FLIGHT_SEASONS = {"Autumn": [2, 4], "Spring": [6, 8]}
 
+HOUR_COLUMNS = (
+    "id date act_score lat lon stap_id sunrise sunset is_active flight_min flight_group takeoff_adjusted "
+    "landing_adjusted next_landing day quiet daytime act_score_no_flight"
+).split()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -113,7 +118,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`merged`, written once for queries that read it for flights and for days."""
-    return keep(merged(spark, sf_dir))
+    return keep(merged(spark, sf_dir).select(*HOUR_COLUMNS))
 
 
 def days_of(hours: DataFrame) -> DataFrame:

@@ -315,7 +315,7 @@ def _profile_days(spark, sf_dir):
 @query(
     "activity_by_latitude",
     """
-SELECT id, round(lat, 6) AS lat, n_rows, round(mean_activity, 6) + 0.0::DOUBLE AS mean_activity, round(se, 6) AS se
+SELECT id, round(lat, 6) AS lat, n_rows, 1::BIGINT AS n_birds, round(mean_activity, 6) + 0.0::DOUBLE AS mean_activity, round(se, 6) AS se
 FROM lat_profile
 """,
 )
@@ -324,6 +324,7 @@ def activity_by_latitude(spark, sf_dir):
         "id",
         rounded("lat").alias("lat"),
         "n_rows",
+        "n_birds",
         rounded("mean_activity").alias("mean_activity"),
         rounded("se").alias("se"),
     )
