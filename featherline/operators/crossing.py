@@ -100,18 +100,24 @@ def season_flight_stats(flights: DataFrame) -> DataFrame:
         F.min("shortest").alias("min_minutes_after"),
         F.max("longest").alias("max_minutes_after"),
     ).withColumn("n_ids", F.col("n_ids_known") + F.col("_unknown"))
-    landed = flights.where(late).select("season", "minutes_after_sunrise", "duration_hours")
-    minute_median = large_quantiles(
-        landed, ["season"], "minutes_after_sunrise", {"median_minutes_after": 0.5}
-    )
-    hour_median = large_quantiles(
-        landed, ["season"], "duration_hours", {"median_flight_duration": 0.5}
-    )
-    out = counts.drop("_unknown")
-    for medians in (minute_median, hour_median):
-        side = medians.withColumnRenamed("season", "_season")
-        out = out.join(side, F.col("season").eqNullSafe(F.col("_season")), "left").drop("_season")
-    return out
+    values = F.array(
+        F.struct(F.lit("minutes").alias("what"), F.col("minutes_after_sunrise").alias("x")),
+        F.struct(F.lit("hours").alias("what"), F.col("duration_hours").alias("x")),
+    )
+    landed = flights.where(late).select(F.col("season").alias("_season"), F.inline(values))
+    medians = (
+        large_quantiles(landed, ["_season", "what"], "x", {"m": 0.5})
+        .groupBy("_season")
+        .agg(
+            F.max(F.when(F.col("what") == "minutes", F.col("m"))).alias("median_minutes_after"),
+            F.max(F.when(F.col("what") == "hours", F.col("m"))).alias("median_flight_duration"),
+        )
+    )
+    return (
+        counts.drop("_unknown")
+        .join(medians, F.col("season").eqNullSafe(F.col("_season")), "left")
+        .drop("_season")
+    )
 
 
 def period_stats_by_id(daily: DataFrame, low: float, high: float, few: float = 2) -> DataFrame:

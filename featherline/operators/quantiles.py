@@ -16,6 +16,7 @@ from featherline.session import keep
 
 ACCURACY = 10_000
 MAX_BROADCAST_GROUPS = 100_000
+SMALL_GROUP = 500_000
 BINS = 4096
 
 
@@ -28,10 +29,17 @@ def group_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float
 
 
 def large_quantiles(
-    df: DataFrame, by: list[str], x: str, probs: dict[str, float], accuracy: int = ACCURACY
+    df: DataFrame,
+    by: list[str],
+    x: str,
+    probs: dict[str, float],
+    accuracy: int = ACCURACY,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Linear-interpolation quantiles of any number of distinct values.
 
+    Counts the groups first: if the largest has at most `small` values the
+    built-in exact percentile is used.  Otherwise the values are bracketed.
     About ``6 / accuracy`` of the rows of a group lie in a bracket, and a bin is
     a small part of that.  The job fails, rather than answer wrongly, if a
     wanted rank is outside its bracket.
@@ -39,6 +47,11 @@ def large_quantiles(
     names = list(probs)
     value = F.col(x).cast("double")
     known = df.where(F.col(x).isNotNull()).select(*by, value.alias("_x"))
+    largest = known.groupBy(*by).count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= small:
+        return known.groupBy(*by).agg(
+            *[F.percentile("_x", F.lit(p)).alias(name) for name, p in probs.items()]
+        )
     # One part for the sketch's error, one for the neighbouring rank, one to spare.
     slack = 3.0 / accuracy
     edges = []
