@@ -16,7 +16,7 @@ from featherline.session import keep
 
 ACCURACY = 10_000
 MAX_BROADCAST_GROUPS = 100_000
-SMALL_GROUP = 500_000
+SMALL_GROUP = 20_000
 BINS = 4096
 
 
