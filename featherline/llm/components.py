@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featherline.session import keep
+from featherline.llm.tables import keep
 
 
 def _state(links: DataFrame) -> tuple:

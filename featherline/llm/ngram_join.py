@@ -24,7 +24,7 @@ from featherline.llm.arrays import chunks, list_array, text_bytes
 from featherline.llm.components import components
 from featherline.llm.signatures import batch_shingles, minhash, prefixes
 from featherline.llm.similarity import local_roots
-from featherline.session import keep
+from featherline.llm.tables import keep
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 5, 0.9999

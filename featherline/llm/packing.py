@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from featherline.llm.arrays import chunks
 from featherline.llm.ranks import gapless
+from featherline.llm.tables import keep
 from featherline.llm.tokens import word_encoder
-from featherline.session import keep
 
 END_ID = 0
 RANKS_PER_JOIN_KEY = 4096

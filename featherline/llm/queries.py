@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherline.llm import ngram_join, packing, sharding, similarity
+from featherline.llm import ngram_join, packing, sharding, similarity, substrings
 from featherline.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,37 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_words(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, first, sha256(array_to_string(words[first:first + 49], ' ')) AS key
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS first FROM texts)
+), sources AS (
+  SELECT key, min(doc_id) AS source FROM windows GROUP BY key
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, first + 50)) AS place
+  FROM windows JOIN sources USING (key) WHERE source < doc_id
+), marks AS (
+  SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+  FROM parts ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherline.llm.components import components
-from featherline.session import keep
+from featherline.llm.tables import keep
 
 TILE_ROWS = 4096
 STRIP_ROWS = 1024
