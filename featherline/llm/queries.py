@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherline.llm import ngram_join, packing, sharding, similarity, substrings
+from featherline.llm import ngram_join, packing, sharding, similarity, substrings, suffixes
 from featherline.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)

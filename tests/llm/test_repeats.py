@@ -8,7 +8,8 @@ import re
 import numpy as np
 import pytest
 
-from featherline.llm import substrings
+from featherline.llm import substrings, suffixes
+from featherline.llm.induced import suffix_order
 
 SCHEMA = "doc_id long, text string, lang string, anchor string, first string, spans string"
 
@@ -72,3 +73,64 @@ def test_words_against_all_windows(spark, window, block):
         mine = sorted((-99 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got)
         assert mine == without_windows(rows, window)
     assert substrings.dedup_words(frame(spark, [])).count() == 0
+
+
+def without_strings(rows, size):
+    first = {}
+    texts = sorted(((i, (t or "").encode()) for i, t in rows if i is not None))
+    for i, data in texts:
+        for s in range(len(data) - size + 1):
+            first.setdefault(data[s : s + size], (i, s))
+    out = []
+    for i, t in rows:
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - size + 1 if i is not None else 0):
+            if first[data[s : s + size]] < (i, s):
+                gone[s : s + size] = b"\1" * size
+        kept = bytes(x for x, g in zip(data, gone) if not g)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        out.append((-99 if i is None else i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("length, gram", [(100, 32), (24, 9)])
+def test_bytes_against_all_strings(spark, monkeypatch, length, gram):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "SORT_MEMORY", 2000 if gram == 9 else 1 << 20)
+    vocabulary = [f"w{i}é" for i in range(300)]
+    for seed in (1, 2):
+        rows = passages(seed, vocabulary)
+        rows += [rows[3], (110, "ab" * 300), (111, "x" * 100), (112, "x" * 99), (113, "x" * 101), (114, rows[5][1] + rows[5][1])]
+        got = suffixes.dedup_bytes(frame(spark, rows), length, gram).collect()
+        mine = sorted((-99 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+        assert mine == without_strings(rows, length)
+    assert suffixes.dedup_bytes(frame(spark, [])).count() == 0
+
+
+def plain_order(text, cap):
+    ends = np.flatnonzero(text == 0)
+
+    def key(i):
+        return [(1, int(x)) if x else (0, 0) for x in text[i : ends[np.searchsorted(ends, i)]]] + [(0, i)]
+
+    order = sorted(np.flatnonzero(text).tolist(), key=key)
+    common = [0] * len(order)
+    for k in range(1, len(order)):
+        a, b = order[k - 1], order[k]
+        while common[k] < cap and text[a + common[k]] == text[b + common[k]] != 0:
+            common[k] += 1
+    return order, common
+
+
+@pytest.mark.parametrize("memory", [10, 300, 1 << 24])
+def test_induced_order_in_memory_and_in_files(memory):
+    rng = np.random.default_rng(memory)
+    for _ in range(60):
+        parts: list[int] = []
+        for _ in range(int(rng.integers(1, 9))):
+            some = rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 40))).tolist()
+            parts += [*some, 0, *([some[0]] * int(rng.integers(1, 25))), 0, *some[-7:], 0]
+        text, cap = np.array(parts), int(rng.integers(3, 50))
+        order, common = suffix_order(text, cap, memory)
+        assert (list(order), list(common)) == plain_order(text, cap)
