@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherline.llm import ngram_join, packing, sharding, similarity, substrings, suffixes
+from featherline.llm import contamination, ngram_join, packing, sharding, similarity, substrings, suffixes
 from featherline.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,34 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048)
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  FROM documents
+), items AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  FROM benchmark
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM docs)
+), item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM items)
+), sizes AS (
+  SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
+)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+FROM doc_shingles JOIN item_shingles USING (shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles
+HAVING 5 * count(*) >= 4 * n_shingles
+"""
+
+
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
