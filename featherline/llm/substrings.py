@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from featherline.llm.anchors import context_groups, inside, least_positions, prefix_sums, run_hashes
 from featherline.llm.arrays import chunks, owners, rolling, span_hashes, text_bytes, word_spans
-from featherline.llm.tables import keep
+from featherline.llm.tables import keep, with_texts
 
 WINDOW, BLOCK = 50, 5
 OCCURRENCES = "anchor long, context long, left int, right int, doc_id long, first int, last int"
@@ -98,7 +98,7 @@ def _windows(alive: DataFrame, texts: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "first", "key"])
 
     spans = alive.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return spans.join(texts, "doc_id").mapInArrow(run, "doc_id long, first int, key binary")
+    return with_texts(spans, texts, "doc_id").mapInArrow(run, "doc_id long, first int, key binary")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -150,7 +150,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *list(out)[: len(columns) - 1]])
 
     cuts = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return _texts(docs).join(cuts, "doc_id", "left").mapInArrow(run, schema)
+    return with_texts(cuts, _texts(docs), "doc_id", "right").mapInArrow(run, schema)
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:

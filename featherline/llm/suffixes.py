@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from featherline.llm.anchors import context_groups, inside, least_positions, prefix_sums, run_hashes
 from featherline.llm.arrays import chunks, owners, text_bytes
 from featherline.llm.induced import suffix_order
-from featherline.llm.tables import keep
+from featherline.llm.tables import keep, with_texts
 
 LENGTH, GRAM = 100, 32
 #: Bytes of surroundings that a shard should hold, and memory of its sort before it goes to files.
@@ -89,7 +89,7 @@ def _surroundings(alive: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "doc_id", "first", "data"])
 
     spans = alive.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spans"))
-    return spans.join(texts, "doc_id").mapInArrow(run, "anchor long, doc_id long, first int, data binary")
+    return with_texts(spans, texts, "doc_id").mapInArrow(run, "anchor long, doc_id long, first int, data binary")
 
 
 def later_strings(text: np.ndarray, docs: np.ndarray, shift: np.ndarray, length: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *list(out)[: len(columns) - 1]])
 
     cuts = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return _texts(docs).join(cuts, "doc_id", "left").mapInArrow(run, schema)
+    return with_texts(cuts, _texts(docs), "doc_id", "right").mapInArrow(run, schema)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
