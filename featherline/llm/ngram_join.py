@@ -24,7 +24,7 @@ from featherline.llm.arrays import chunks, list_array, text_bytes
 from featherline.llm.components import components
 from featherline.llm.signatures import batch_shingles, minhash, prefixes
 from featherline.llm.similarity import local_roots
-from featherline.llm.tables import keep
+from featherline.llm.tables import keep, with_texts
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 5, 0.9999
@@ -137,7 +137,7 @@ def verified(members: DataFrame, docs: DataFrame, width: int, threshold: float)
                 ["rep", "grp", "copies", "blocks", "block", "shingles"],
             )
 
-    sets = placed.select("rep", "grp", "copies", "blocks", "block").join(texts, "rep")
+    sets = with_texts(placed.select("rep", "grp", "copies", "blocks", "block"), texts, "rep")
     sets = sets.mapInArrow(cut, "rep long, grp long, copies long, blocks int, block int, shingles array<long>")
     # Small groups share a bin; every two blocks of a large one meet, and a block meets itself.
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
