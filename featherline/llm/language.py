@@ -182,8 +182,8 @@ class Field:
         """Each word's label distribution, each row's first word, and each row's mean distribution."""
         words = Words(flat, at)
         share = np.zeros((len(at) - 1, len(self.languages)))
-        if not len(words.starts):
-            return np.zeros((0, len(self.languages))), words.at, share
+        if not len(words.starts) or not self.languages:
+            return np.zeros((len(words.starts), len(self.languages))), words.at, share
         _, nth, same = np.unique(words.keys(), return_index=True, return_inverse=True)
         each, _ = marginals(self.scores(words.only(nth))[same], words.at, self.transition)
         filled = np.diff(words.at) > 0
