@@ -299,6 +299,23 @@ def predict(docs: DataFrame, field: Field, held_out) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
+def known(docs: DataFrame, field: Field, least: float) -> DataFrame:
+    """The rows of docs in a learned language for at least the share `least` of their words, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    width = len(docs.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = shared.value
+        for batch in chunks(batches, "_lower", CHUNK):
+            share = field.label(*text_bytes(batch.column("_lower")))[2]
+            good = (share.max(axis=1, initial=0) >= least) & (share.sum(axis=1, initial=0) > 0)
+            yield batch.select(range(width)).filter(pa.array(good))
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where(text.rlike(r"\p{L}")).withColumn("_lower", F.lower(text))
+    return rows.mapInArrow(run, docs.schema)
+
+
 def remainder(parts: int):
     """crc32 of the doc_id as text, modulo `parts`; null ids count as empty."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts

@@ -9,13 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherline.llm import contamination, language, ngram_join, packing, sharding, similarity, substrings, suffixes, toxicity
+from featherline.llm import contamination, language, ngram_join, packing, sharding, similarity, substrings, suffixes, token_files, toxicity
 from featherline.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 24
+#: The end-of-text identifier of the word-level file.
+END_OF_TEXT = 49407
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -53,6 +55,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048)
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END_OF_TEXT)
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
