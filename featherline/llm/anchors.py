@@ -51,21 +51,22 @@ def inside(at: np.ndarray, need: int, least: int = 0) -> np.ndarray:
     return np.arange(int(count.sum())) + np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
 
 
-def context_groups(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+def context_groups(rows: DataFrame, place: list[str], spans: list[str]) -> tuple[DataFrame, DataFrame]:
     """Split occurrences of anchors into those with an equal context at an earlier place, and first ones.
 
-    rows: anchor, context, left, right (hashes of the nearer half of the context on
-    either side), the columns of `place`, and others.  The first ones are returned
-    only if another first one of the same anchor agrees with it on the left or on
-    the right; a shared passage that holds the anchor reaches that far on one side.
+    rows: anchor, context, the columns of `place`, hashes of `spans` of the context, and
+    others.  A shared passage that holds the anchor covers one of the spans; the first
+    ones are returned only if another first one of the same anchor agrees with it in
+    one, with the numbers of the first and last such span (low_span, high_span).
     """
     spot = F.struct(*place)
     first = rows.groupBy("anchor", "context").agg(F.min(spot).alias("_first"))
     rows = rows.join(first, ["anchor", "context"])
     later = rows.where(spot > F.col("_first"))
     firsts = rows.where(spot <= F.col("_first")).drop("_first")
-    sides = firsts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("half")), F.struct(F.lit(1).alias("side"), F.col("right").alias("half")))).alias("s"))
-    sides = sides.select("*", "s.side", "s.half").drop("s")
-    shared = sides.groupBy("anchor", "side", "half").agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 <> c1")
-    alive = sides.join(shared.select("anchor", "side", "half"), ["anchor", "side", "half"]).select(*firsts.columns).distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("span"), F.col(c).alias("hash")) for k, c in enumerate(spans))))
+    parts = firsts.select("*", each.alias("s")).select("*", "s.span", "s.hash").drop("s")
+    shared = parts.groupBy("anchor", "span", "hash").agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 <> c1")
+    agreeing = parts.join(shared.select("anchor", "span", "hash"), ["anchor", "span", "hash"])
+    alive = agreeing.groupBy(*firsts.columns).agg(F.min("span").alias("low_span"), F.max("span").alias("high_span"))
     return later, alive

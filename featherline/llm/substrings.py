@@ -114,7 +114,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     texts = _texts(docs.where("doc_id is not null and text is not null"))
     repeated = keep(_repeated(texts, window, block))
     rows = keep(_occurrences(texts, window, block).join(repeated, "anchor"))
-    later, alive = context_groups(rows, ["doc_id"])
+    later, alive = context_groups(rows, ["doc_id"], ["left", "right"])
     windows = keep(_windows(keep(alive), texts, window))
     first = windows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other")
     hits = windows.join(first.select("key", "source"), "key").where("doc_id > source")

@@ -3,8 +3,10 @@
 A string of `length` bytes that occurs twice holds the same anchor at the same place
 in both: of its `GRAM`-byte strings the one with the least hash.  Anchors that occur
 once cannot lie in a repeat and go.  Of occurrences with equal surroundings all but
-the first are covered as a whole.  The surroundings of the others are dealt by anchor
-to shards, and each shard sorts all its suffixes by external induced sorting; a run
+the first are covered as a whole.  A repeat around an anchor reaches so far to the left
+and the rest to the right that it covers one of `SPANS` spans around the anchor; what
+is left of the surroundings, around spans that occur again, is dealt by anchor to
+shards, and each shard sorts all its suffixes by external induced sorting; a run
 of suffixes with common prefixes of `length` bytes or more is one string, and its
 first occurrence stays.
 """
@@ -24,10 +26,17 @@ from featherline.llm.arrays import chunks, owners, text_bytes
 from featherline.llm.induced import suffix_order
 from featherline.llm.tables import keep, with_texts
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, SPANS = 100, 32, 4
 #: Bytes of surroundings that a shard should hold, and memory of its sort before it goes to files.
 SHARD_BYTES, SORT_MEMORY = 4 << 20, 128 << 20
-OCCURRENCES = "anchor long, context long, left int, right int, doc_id long, first int, last int"
+NAMES = [f"span{k}" for k in range(SPANS)]
+OCCURRENCES = f"anchor long, context long, {', '.join(f'{c} int' for c in NAMES)}, doc_id long, spot int, last int"
+
+
+def _reach(reach: int) -> list[tuple[int, int]]:
+    """How far a repeat reaches to the left of its anchor, from and to, for each of the spans."""
+    edges = [reach * k // SPANS for k in range(SPANS + 1)]
+    return [(a + (k > 0), b) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -56,8 +65,8 @@ def _repeated(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """All anchors with hashes of their surroundings, which are the bytes first to last (exclusive)."""
-    reach, half = length - gram, (length - gram + 1) // 2
+    """All anchors, where they begin (spot) and their surroundings end, with hashes of these and of spans."""
+    reach = length - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -65,12 +74,12 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
             low, high = at[:-1][row], at[1:][row]
             begin, end = np.maximum(spots - reach, low), np.minimum(spots + length, high)
             context = run_hashes(sums, begin, end, (spots - begin) * (length * 4) + (end - begin))
-            left_at, right_at = np.maximum(spots - half, low), np.minimum(spots + gram + half, high)
-            left = run_hashes(sums, left_at, spots + gram, spots - left_at)
-            right = run_hashes(sums, spots, right_at, right_at - spots)
-            ids = batch.column("doc_id").to_numpy()
-            columns = [hashes.view(np.int64), context.view(np.int64), left.astype(np.uint32).view(np.int32), right.astype(np.uint32).view(np.int32), ids[row], (begin - low).astype(np.int32), (end - low).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "left", "right", "doc_id", "first", "last"])
+            columns = [hashes.view(np.int64), context.view(np.int64)]
+            for least, most in _reach(reach):
+                a, b = np.maximum(spots - least, low), np.minimum(spots + gram + reach - most, high)
+                columns.append(run_hashes(sums, a, b, (spots - a) * (length * 4) + (b - a)).astype(np.uint32).view(np.int32))
+            columns += [batch.column("doc_id").to_numpy()[row], (spots - low).astype(np.int32), (end - low).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", *NAMES, "doc_id", "spot", "last"])
 
     return texts.mapInArrow(run, OCCURRENCES)
 
@@ -160,11 +169,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = _texts(docs.where("doc_id is not null and text is not null"))
     repeated = keep(_repeated(texts, length, gram))
     rows = keep(_occurrences(texts, length, gram).join(repeated, "anchor"))
-    later, alive = context_groups(rows, ["doc_id", "first"])
+    reach = length - gram
+    later, alive = context_groups(rows, ["doc_id", "spot"], NAMES)
+    left = F.element_at(F.array(*(F.lit(most) for _, most in _reach(reach))), F.col("high_span") + 1)
+    right = F.element_at(F.array(*(F.lit(reach - least) for least, _ in _reach(reach))), F.col("low_span") + 1)
+    alive = alive.select(
+        "anchor",
+        "doc_id",
+        F.greatest(F.col("spot") - left, F.lit(0)).alias("first"),
+        F.least(F.col("spot") + gram + right, F.col("last")).alias("last"),
+    )
     alive = keep(alive)
-    shards = max(1, -(-alive.count() * (2 * length - gram) // SHARD_BYTES))
+    size = alive.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     found = keep(_sorted_shards(_surroundings(alive, texts), shards, length, SORT_MEMORY))
-    return later.select("doc_id", "first", "last").unionByName(found)
+    whole = later.select("doc_id", F.greatest(F.col("spot") - reach, F.lit(0)).alias("first"), "last")
+    return whole.unionByName(found)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
