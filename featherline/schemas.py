@@ -2,7 +2,6 @@
 
 HOURLY = "id string, date timestamp, acc3 int, acc4 int, acc5 int, act_score double"
 PRESSURE = "id string, date timestamp, temp_c double, pressure_hpa double"
-LIGHT = "ts timestamp, lux double"
 TWILIGHT_TEXT = "series string, timestamp string, value double, label string"
 PATH = (
     "id string, date timestamp, lat double, lon double, stap_id double, "

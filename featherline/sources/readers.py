@@ -7,8 +7,9 @@ matter to the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from featherline import schemas
 
@@ -26,6 +27,28 @@ def tag_of_file() -> Column:
     return F.regexp_extract(_path(), r"([^/_.\-]+)[^/]*$", 1)
 
 
+def tag_of_split() -> Column:
+    """The tag of a folder written per tag (``id=...``); NULL elsewhere."""
+    found = F.regexp_extract(_path(), r"/id=([^/]+)/[^/]+$", 1)
+    return F.when(found != "", F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))))
+
+
+def _as_declared(found: DataFrame, schema: str) -> list[Column]:
+    return [
+        (F.col(f"`{f.name}`") if f.name in found.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
+        for f in StructType.fromDDL(schema).fields
+    ]
+
+
+def by_header(reader: DataFrameReader, path: str, schema: str) -> DataFrame:
+    """CSV columns by the name in the header, as declared; absent columns and unreadable values are NULL.
+
+    All files of one read must agree on the header; Spark stops where one does not.
+    """
+    found = reader.option("header", "true").option("enforceSchema", "false").csv(path)
+    return found.select(*_as_declared(found, schema))
+
+
 def read_tags(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Tags that have a file ending in `suffix`, with its path and size."""
     return (
@@ -43,20 +66,18 @@ def read_tags(spark: SparkSession, root: str, suffix: str) -> DataFrame:
 
 def read_union(spark: SparkSession, root: str, suffix: str, schema: str, fmt: str = "csv") -> DataFrame:
     """All tags' files of one kind as one table with an ``id`` column; tags without one are absent."""
-    reader = (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", f"*{suffix}")
-        .option("recursiveFileLookup", "true")
-    )
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    return reader.format(fmt).load(root).select("*", tag_of_folder().alias("id"))
+    reader = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true")
+    if fmt != "csv":
+        return reader.schema(schema).format(fmt).load(root).select("*", tag_of_folder().alias("id"))
+    found = reader.option("header", "true").option("enforceSchema", "false").csv(root)
+    named = found.select("*", tag_of_folder().alias("_tag"))
+    return named.select(*_as_declared(named, schema), F.col("_tag").alias("id"))
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV folder or file with a header, or Parquet, by declared schema."""
     if path.rstrip("/").endswith((".csv", "_csv")):
-        return spark.read.schema(schema).option("header", "true").csv(path)
+        return by_header(spark.read, path, schema)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -72,18 +93,43 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.PARAMS)
 
 
-def read_light(spark: SparkSession, root: str, suffix: str = ".lux") -> DataFrame:
-    """Light logger text: two header lines, then day/month/year time and lux, tab-separated."""
-    return (
-        spark.read.schema(schemas.LIGHT)
-        .option("sep", "\t")
-        .option("timestampFormat", "dd/MM/yyyy HH:mm:ss")
-        .option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", f"*{suffix}")
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tables written per tag, by declared schema; a tag such as 91D stays text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def light_lines(spark: SparkSession, root: str, suffix: str = ".lux", header_lines: int = 2) -> DataFrame:
+    """All lines of light logger text after the header; ``_corrupt_record`` holds a line that cannot be read.
+
+    Lines are day/month/year time and lux, tab-separated; blank lines are left out.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", "true")
-        .csv(root)
-        .select(tag_of_folder().alias("id"), "ts", "lux")
+        .text(root, wholetext=True)
+        .select(tag_of_folder().alias("id"), F.posexplode(F.split("value", r"\r?\n")).alias("_line", "_text"))
+        .where((F.col("_line") >= header_lines) & (F.trim("_text") != ""))
     )
+    part = F.split("_text", "\t")
+    ts = F.try_to_timestamp(F.try_element_at(part, F.lit(1)), F.lit("dd/MM/yyyy HH:mm:ss"))
+    lux = F.trim(F.try_element_at(part, F.lit(2))).try_cast("double")
+    return lines.select("id", ts.alias("ts"), lux.alias("lux"), "_text").select(
+        "id",
+        "ts",
+        "lux",
+        F.when(F.col("ts").isNull() | F.col("lux").isNull(), F.col("_text")).alias("_corrupt_record"),
+    )
+
+
+def read_light(spark: SparkSession, root: str, suffix: str = ".lux") -> DataFrame:
+    """Readable lines of light logger text; `unreadable_light` counts the others."""
+    return light_lines(spark, root, suffix).where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def unreadable_light(spark: SparkSession, root: str, suffix: str = ".lux") -> DataFrame:
+    """Lines per tag that `read_light` leaves out, with one of them."""
+    bad = light_lines(spark, root, suffix).where("_corrupt_record is not null")
+    return bad.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("_corrupt_record").alias("example"))
 
 
 def read_twilight(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFrame:
@@ -94,7 +140,7 @@ def read_twilight(spark: SparkSession, root: str, suffix: str = ".csv") -> DataF
         .option("pathGlobFilter", f"*{suffix}")
         .csv(root)
         .select(
-            tag_of_file().alias("id"),
+            F.coalesce(tag_of_split(), tag_of_file()).alias("id"),
             _path().contains("-labeled").alias("labelled"),
             "series",
             F.col("timestamp").cast("timestamp").alias("timestamp"),

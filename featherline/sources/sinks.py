@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from featherline.operators.tables import missing_tags
 
 
+def _by_tag(df: DataFrame, mode: str = "overwrite"):
+    """A writer that replaces the folders of the tags it holds and leaves those of others."""
+    return df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("id")
+
+
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet, one folder per tag."""
-    df.write.mode(mode).partitionBy("id").parquet(path)
+    """Parquet, one folder per tag; folders of other tags stay."""
+    _by_tag(df, mode).parquet(path)
 
 
 def write_twilight(df: DataFrame, path: str) -> None:
@@ -22,7 +27,7 @@ def write_twilight(df: DataFrame, path: str) -> None:
         "value",
         "label",
     )
-    text.write.mode("overwrite").partitionBy("id").option("header", "true").csv(path)
+    _by_tag(text).option("header", "true").csv(path)
 
 
 def export_path(paths: DataFrame, tags: DataFrame, path: str, only: list[str] | None = None) -> DataFrame:
