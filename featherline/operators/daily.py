@@ -23,8 +23,14 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def join_path(hourly: DataFrame, path: DataFrame) -> DataFrame:
-    """Add the estimated position of each hour; `path` must be unique in id and date."""
-    return hourly.join(path, ["id", "date"], "left")
+    """Add the estimated position of each hour; `path` must be unique in id and date.
+
+    Dates inside an hour take the position of that hour and stay as they are.
+    """
+    hour = F.date_trunc("hour", "date").cast(hourly.schema["date"].dataType)
+    rows = hourly.withColumn("_hour", hour).join(path.withColumnRenamed("date", "_hour"), ["id", "_hour"], "left")
+    first = ["id", "date"]
+    return rows.select(*first, *(c for c in rows.columns if c not in (*first, "_hour")))
 
 
 def quiet_hours(merged: DataFrame, sunrise_hour: int = 4, sunset_hour: int = 16) -> DataFrame:

@@ -59,21 +59,6 @@ def grid(extents: DataFrame) -> DataFrame:
     return lat_rows.select("id", "lat", F.explode(centres("west", "east")).alias("lon"))
 
 
-def cap_samples(pressure: DataFrame, max_sample: int, max_rows: int = series.MAX_ROWS) -> DataFrame:
-    """At most `max_sample` evenly spaced samples per stationary period, first one included."""
-    df = pressure.withColumn("_stap", F.struct("id", "stap_id"))
-    df = series.split_hot(df, key="_stap", max_rows=max_rows)
-    df = series.running_sum(df, {"_rank": F.lit(1)}, key="_stap")
-    df = series.per_key(df, {"_total": F.count(F.lit(1))}, key="_stap")
-
-    def slot(rank: Column) -> Column:
-        return F.floor(rank * max_sample / F.col("_total"))
-
-    chosen = (F.col("_rank") == 1) | (slot(F.col("_rank") - 1) != slot(F.col("_rank") - 2))
-    kept = df.where((F.col("_total") <= max_sample) | chosen)
-    return series.without_segments(kept).drop("_stap", "_rank", "_total")
-
-
 def pressure_map(
     pressure: DataFrame,
     reanalysis: DataFrame,

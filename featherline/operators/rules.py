@@ -11,11 +11,13 @@ from featherline.functions.nulls import among
 def crop(df: DataFrame, windows: DataFrame, order: str = "date") -> DataFrame:
     """Keep rows inside the tag's ``crop_start``..``crop_end``; tags without a window stay whole.
 
-    The end is exclusive: a crop date means its midnight.
+    The end is exclusive: a crop date means its midnight.  Of several windows of
+    a tag their overlap counts.
     """
     at = F.col(order)
+    bounds = windows.groupBy("id").agg(F.max("crop_start").alias("crop_start"), F.min("crop_end").alias("crop_end"))
     return (
-        df.join(windows.select("id", "crop_start", "crop_end"), "id", "left")
+        df.join(bounds, "id", "left")
         .where(F.col("crop_start").isNull() | (at >= F.col("crop_start")))
         .where(F.col("crop_end").isNull() | (at < F.col("crop_end")))
         .drop("crop_start", "crop_end")
@@ -23,10 +25,10 @@ def crop(df: DataFrame, windows: DataFrame, order: str = "date") -> DataFrame:
 
 
 def cut(df: DataFrame, rules: DataFrame, order: str = "date") -> DataFrame:
-    """Keep dates before ``before`` (exclusive) for the tags listed in `rules`."""
+    """Keep dates before ``before`` (exclusive, the earliest of a tag) for the tags listed in `rules`."""
     day = F.to_date(order)
     return (
-        df.join(rules.select("id", "before"), "id", "left")
+        df.join(rules.groupBy("id").agg(F.min("before").alias("before")), "id", "left")
         .where(F.col("before").isNull() | (day < F.col("before")))
         .drop("before")
     )
@@ -37,30 +39,29 @@ def cut_at_period(flights: DataFrame, rules: DataFrame) -> DataFrame:
 
     `rules` has ``id, period, keep, shift``: ``keep='until'`` keeps dates up to
     the last date of the period plus `shift` days, ``keep='from'`` keeps dates
-    from the first date of the period plus `shift` days.  A listed tag without
-    that period loses all its rows.
+    from the first date of the period plus `shift` days.  All rules of a tag
+    hold; a tag with a rule on a period that it does not have loses all its rows.
     """
     rules = rules.select(
         "id", F.col("period").alias("_period"), F.col("keep").alias("_keep"), F.col("shift").alias("_shift")
     )
     hits = flights.select("id", "date", "period").join(rules, "id")
     in_period = F.when(F.col("period") == F.col("_period"), F.col("date"))
-    borders = hits.groupBy("id", "_keep").agg(
-        F.when(
-            F.col("_keep") == "until", F.date_add(F.max(in_period), F.max("_shift"))
-        ).otherwise(F.date_add(F.min(in_period), F.max("_shift"))).alias("_border")
+    until = F.col("_keep") == "until"
+    borders = hits.groupBy("id", "_keep", "_period", "_shift").agg(
+        F.max(in_period).alias("_last"), F.min(in_period).alias("_first")
     )
     borders = borders.groupBy("id").agg(
-        F.max(F.when(F.col("_keep") == "until", F.col("_border"))).alias("_until"),
-        F.max(F.when(F.col("_keep") == "from", F.col("_border"))).alias("_from"),
-        F.max((F.col("_keep") == "until").cast("int")).alias("_has_until"),
-        F.max((F.col("_keep") == "from").cast("int")).alias("_has_from"),
+        F.min(F.when(until, F.date_add("_last", F.col("_shift")))).alias("_until"),
+        F.max(F.when(~until, F.date_add("_first", F.col("_shift")))).alias("_from"),
+        F.bool_or(F.col("_last").isNull()).alias("_lost"),
     )
     return (
         flights.join(borders, "id", "left")
-        .where(F.col("_has_until").isNull() | (F.col("_has_until") == 0) | (F.col("date") <= F.col("_until")))
-        .where(F.col("_has_from").isNull() | (F.col("_has_from") == 0) | (F.col("date") >= F.col("_from")))
-        .drop("_until", "_from", "_has_until", "_has_from")
+        .where(~F.coalesce("_lost", F.lit(False)))
+        .where(F.col("_until").isNull() | (F.col("date") <= F.col("_until")))
+        .where(F.col("_from").isNull() | (F.col("date") >= F.col("_from")))
+        .drop("_until", "_from", "_lost")
     )
 
 

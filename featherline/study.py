@@ -57,7 +57,6 @@ DEFAULT_PARAMS = {
     "tag_set_map.extent": "5,60,-27,57",
     "tag_set_map.scale": "2",
     "tag_set_map.include_min_duration": "0",
-    "pressure_map.max_sample": "600",
     "pressure_map.margin": "10",
     "pressure_map.sd": "0.8",
     "pressure_map.thr_mask": "0.9",
@@ -91,7 +90,6 @@ TAG_PARAMS = {
     "AC4": {"pressure_map.sd": "0.9"},
     "AC0": {
         "pressure_map.sd": "0.9",
-        "pressure_map.max_sample": "1000",
         "tag_set_map.extent": "7,46,-23,57",
         "tag_set_map.scale": "2",
     },

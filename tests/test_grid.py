@@ -107,18 +107,6 @@ def test_pressure_mask_allows_for_the_ground_of_a_cell(spark):
     assert grid.pressure_map(tag, hilly).first().share_in_range == 1.0
 
 
-@pytest.mark.parametrize("limit", [None, 10])
-def test_sample_cap_is_exact_and_even(spark, limit):
-    df = spark.createDataFrame(
-        [("a", 1, NOON + dt.timedelta(hours=i)) for i in range(57)] + [("a", 2, NOON)],
-        "id string, stap_id int, date timestamp",
-    )
-    got = grid.cap_samples(df, 10, max_rows=limit)
-    assert {r.stap_id: r.n for r in got.groupBy("stap_id").agg(F.count("*").alias("n")).collect()} == {1: 10, 2: 1}
-    hours = sorted((r.date - NOON).total_seconds() / 3600 for r in got.where("stap_id = 1").collect())
-    assert hours[0] == 0 and max(b - a for a, b in zip(hours, hours[1:])) <= 6
-
-
 def test_twilights_follow_the_day_offset(spark):
     light = spark.createDataFrame(
         [("a", dt.datetime(2024, 1, d, h), float(lux)) for d, h, lux in [(1, 6, 5), (1, 18, 5), (2, 1, 5), (2, 7, 0), (2, 9, 9)]],

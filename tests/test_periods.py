@@ -86,6 +86,21 @@ def test_cut_at_period(spark):
     assert got == [("90E", 1), ("AC2", 2), ("AC2", 3), ("ACA", 1), ("ACA", 2), ("ACA", 3)]
 
 
+def test_all_rules_of_a_tag_hold(spark):
+    d = [dt.date(2023, 9, n) for n in range(1, 8)]
+    df = spark.createDataFrame([("a", x, 2.0 * (i // 2)) for i, x in enumerate(d)], "id string, date date, period double")
+    two = rule_table(spark, [("a", 2.0, "until", 0), ("a", 0.0, "until", 3)], "id string, period double, keep string, shift int")
+    assert sorted(r.date.day for r in rules.cut_at_period(df, two).collect()) == [1, 2, 3, 4]
+    none = two.unionByName(rule_table(spark, [("a", 9.0, "from", 0)], "id string, period double, keep string, shift int"))
+    assert rules.cut_at_period(df, none).count() == 0
+    cuts = rule_table(spark, [("a", "2023-09-03"), ("a", "2023-09-05"), ("a", None)], "id string, before date")
+    assert sorted(r.date.day for r in rules.cut(df, cuts).collect()) == [1, 2]
+    windows = spark.createDataFrame(
+        [("a", d[0], d[4]), ("a", d[2], None)], "id string, crop_start date, crop_end date"
+    )
+    assert sorted(r.date.day for r in rules.crop(df, windows).collect()) == [3, 4]
+
+
 def naive(items, window=5, gap=5, least=2, min_hours=6.0, spring=150):
     items = sorted(items)
     candidate, last, tagged = 0, None, []

@@ -152,8 +152,8 @@ def test_parameters_of_the_study(spark):
     table = rule_table(spark, study.param_rows(), schemas.PARAMS)
     resolved = params.resolve_params(table)
     got = {(r.id, r.key): (r.value, r.overridden) for r in resolved.collect()}
-    assert got["AC0", "pressure_map.max_sample"] == ("1000", True)
-    assert got["DBA", "pressure_map.max_sample"] == ("600", False)
+    assert got["AC0", "pressure_map.sd"] == ("0.9", True)
+    assert got["DBA", "pressure_map.sd"] == ("0.8", False)
     assert got["AC0", "graph_create.thr_gs"] == ("150", False)
     assert ("default", "graph_create.thr_gs") not in got
     windows = {r.id: (r.crop_start, r.crop_end) for r in params.crop_windows(resolved).collect()}

@@ -155,19 +155,6 @@ def pressure_map(spark, sf_dir):
     )
 
 
-@query(
-    "capped_samples",
-    """
-SELECT id, stap_id, date FROM (
-  SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY id, stap_id) AS total
-  FROM tag_pressure WINDOW w AS (PARTITION BY id, stap_id ORDER BY date))
-WHERE total <= 200 OR rank = 1 OR floor((rank - 1) * 200 / total) <> floor((rank - 2) * 200 / total)
-""",
-)
-def capped_samples(spark, sf_dir):
-    return grid.cap_samples(tag_pressure(spark, sf_dir), 200).select("id", "stap_id", "date")
-
-
 @query(
     "light_twilights",
     """
