@@ -172,15 +172,6 @@ def test_season_is_carried_over_flights_outside_periods(spark):
     assert [r.season for r in got] == [None, "Autumn", "Autumn", "Spring", "Spring"]
 
 
-def test_dates_inside_an_hour_take_its_position(spark):
-    at = [dt.datetime(2023, 9, 1, 5), dt.datetime(2023, 9, 1, 5, 7), dt.datetime(2023, 9, 1, 6)]
-    hourly = spark.createDataFrame([("a", x) for x in at], "id string, date timestamp")
-    path = spark.createDataFrame([("a", at[0], 50.0)], "id string, date timestamp, lat double")
-    got = daily.join_path(hourly, path)
-    assert got.columns == ["id", "date", "lat"]
-    assert sorted((r.date, r.lat) for r in got.collect() if r.lat) == [(at[0], 50.0), (at[1], 50.0)]
-
-
 def test_daily_cuts(spark):
     cuts = rule_table(spark, list(study.DAILY_CUTS.items()), "id string, before date")
     df = spark.createDataFrame(
