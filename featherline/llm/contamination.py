@@ -4,8 +4,11 @@ Items are partitioned by their number of shingles into classes that double.  For
 class a document is cut into windows of twice the class's size, half overlapping, so
 that an item meets windows of its own size however long the document is, and the
 share of a window's shingles that it makes up has a lower bound.  A window is a
-candidate for an item if one of their MinHash values agrees.  Candidates are
-verified by the exact share of the item's shingles in the whole document.
+candidate for an item if one of their MinHash values agrees.  Items of few different
+shingles, which are too small a share of any window, and repetitive items are looked
+up by shingle instead, without loss: of n shingles k must be found, so one of any
+n - k + 1 must.  Candidates are verified by the exact share of the item's shingles in
+the whole document.
 """
 
 from __future__ import annotations
@@ -37,16 +40,28 @@ def string_shingles(text: str, width: int) -> set[tuple[str, ...]]:
 class Index:
     """MinHash values of a block of items by class, and their exact shingles."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], width: int, threshold: float) -> None:
         self.ids = [i for i, _ in items]
         self.shingles = [string_shingles(t, width) for _, t in items]
         hashes, at = batch_shingles(pa.array([t for _, t in items], pa.string()), width)
         sizes = np.diff(at)
         values = np.zeros((PERMUTATIONS, len(items)), np.uint64)
         values[:, sizes > 0] = minhash(hashes, at, PERMUTATIONS, SEED)
+        different = np.array([len(s) for s in self.shingles], np.int64)
+        looked_up = (different <= SMALLEST) | (2 * different < sizes)
+        keys, key_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(looked_up & (sizes > 0)).tolist():
+            mine = np.unique(hashes[at[i] : at[i + 1]])
+            need = int(np.ceil(threshold * len(mine) - 1e-9))
+            keys.append(mine[: len(mine) - max(need, 1) + 1])
+            key_of.append(np.full(len(keys[-1]), i))
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        self.keys, self.key_of = np.concatenate(keys)[order], np.concatenate(key_of)[order]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.classes: list[tuple[int, list]] = []
-        size, done = SMALLEST, np.flatnonzero(sizes == 0)
-        left = np.setdiff1d(np.arange(len(items)), done)
+        size = SMALLEST
+        left = np.flatnonzero(~looked_up)
         while len(left):
             mine = left[sizes[left] <= size]
             tables = []
@@ -60,16 +75,24 @@ class Index:
             size *= 2
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs (row, item number) with a window that shares a MinHash value."""
+        """Pairs (row, item number) with a looked-up shingle, or with a window that shares a MinHash value."""
         lengths = np.diff(at)
+        found: set[tuple[int, int]] = set()
+        if len(self.keys):
+            hit = np.flatnonzero(self.maybe[(hashes >> np.uint64(48)).astype(np.int64)])
+            a, b = np.searchsorted(self.keys, hashes[hit], "left"), np.searchsorted(self.keys, hashes[hit], "right")
+            whose = np.searchsorted(at, hit, "right") - 1
+            for k in np.flatnonzero(b > a).tolist():
+                found.update((int(whose[k]), int(i)) for i in self.key_of[a[k] : b[k]])
+        if not self.classes:
+            return found
         blocks = -(-lengths // SMALLEST)
         block_at = np.concatenate([[0], np.cumsum(blocks)])
         if not block_at[-1]:
-            return set()
+            return found
         nth = np.arange(block_at[-1]) - np.repeat(block_at[:-1], blocks)
         starts = np.repeat(at[:-1], blocks) + nth * SMALLEST
         row = np.repeat(np.arange(len(lengths)), blocks)
-        found: set[tuple[int, int]] = set()
         product = np.empty(len(hashes), np.uint64)
         for j, factor in enumerate(seeds(PERMUTATIONS, SEED)):
             np.multiply(hashes, factor, out=product)
@@ -137,6 +160,6 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshol
     out = None
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found = _search(texts, Index([(r.item_id, r.text) for r in part.collect()], width), width, threshold)
+        found = _search(texts, Index([(r.item_id, r.text) for r in part.collect()], width, threshold), width, threshold)
         out = found if out is None else out.unionByName(found)
     return out
