@@ -42,7 +42,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool
     """Cut every document's identifiers, with the end identifier after them, into pieces.
 
     docs: doc_id, text; further columns are not read.  Null and empty texts have the
-    end identifier only.  Whole texts of any length; a document is one row of a task.
+    end identifier only.  The file's added tokens in a text keep their own identifiers.
+    Whole texts of any length; a document is one row of a task.
     """
     schema = PIECES + (", ids binary" if with_ids else "")
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool
         for batch in chunks(batches):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encoder.encode(text) + end)
+                ids = memoryview(encoder.encode_added(text) + end)
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows["doc_id"].append(doc_id)

@@ -40,6 +40,12 @@ class WordEncoder:
         split, bytewise = parts["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or (split["type"], bytewise["type"]) != ("Split", "ByteLevel"):
             raise ValueError(f"not a lower-casing word-level tokenizer: {path}")
+        added = parts["added_tokens"]
+        if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError(f"added tokens that are not plain texts: {path}")
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else None
         self.model = Tokenizer.from_file(path).model
         pattern = split["pattern"]["Regex"]
         self.pieces = regex.compile(pattern).findall
@@ -70,6 +76,7 @@ class WordEncoder:
         return out
 
     def encode(self, text: str) -> bytes:
+        """Added tokens are plain text here, so no identifier of a text is a separator."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
@@ -79,6 +86,12 @@ class WordEncoder:
         words = _BLANKS(text) if any(c in text for c in _UNSURE) else text.split()
         return b"".join([known(word) or make(word) for word in words])
 
+    def encode_added(self, text: str) -> bytes:
+        """As `encode`, but the file's added tokens keep their own identifiers."""
+        if self.added_parts is None or not any(x in text for x in self.added):
+            return self.encode(text)
+        return b"".join([self.added.get(x) or self.encode(x) for x in self.added_parts(text)])
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:

@@ -114,6 +114,14 @@ def test_pieces_are_the_tokenizers_ids(spark):
         assert all(r.length == 64 for r in mine[:-1])
 
 
+def test_added_tokens_in_texts_keep_their_identifiers(spark):
+    texts = ["hello <|endoftext|> world", "A<|startoftext|>b<|endoftext|>", "<|endoftext|><|endoftext|>", "x <|ENDOFTEXT|> y", "e<|endoftext|>\u0301 \u00c9 \u03a3<|endoftext|>'s", "<|endoftext <|endoftext|>|>", "plain", ""]
+    got = {r.doc_id: r.ids for r in packing.pieces(docs(spark, list(enumerate(texts))), TOKENIZER, 64, with_ids=True).collect()}
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for i, text in enumerate(texts):
+        assert got[i] == np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
 def test_packing_is_gapless_and_tight(spark, monkeypatch):
     monkeypatch.setattr(ranks, "ROWS_PER_BLOCK", 16)
     monkeypatch.setattr(packing, "RANKS_PER_JOIN_KEY", 8)
