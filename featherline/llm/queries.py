@@ -67,10 +67,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_decontamination"] = r"""
 WITH docs AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\x0B\f\r]+') AS words
   FROM documents
 ), items AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\x0B\f\r]+') AS words
   FROM benchmark
 ), doc_shingles AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
@@ -100,7 +100,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op8_substring_dedup"] = r"""
 WITH texts AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS words
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words
   FROM documents
 ), windows AS (
   SELECT doc_id, first, sha256(array_to_string(words[first:first + 49], ' ')) AS key
