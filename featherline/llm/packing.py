@@ -48,12 +48,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, True)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in chunks(batches):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encoder.encode_added(text) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows["doc_id"].append(doc_id)

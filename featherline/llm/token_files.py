@@ -1,9 +1,10 @@
 """Token counts of documents in flat files of token identifiers without an index.
 
 A file is a row of little-endian unsigned 16-bit identifiers; an end-of-document
-identifier follows each document.  A file is read in blocks; a vectorised comparison
-finds the separators of a block, and a prefix scan over the blocks of a file, of their
-numbers of separators and last separators, stitches documents that cross blocks.
+identifier follows each document.  A block of a file is a row that says which bytes to
+read; a vectorised comparison finds the separators of a block, and a prefix scan over the
+blocks of a file, of their numbers of separators and last separators, stitches documents
+that cross blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from featherline.llm.tables import keep
 from featherline.llm.tokens import word_encoder
 from featherline.session import checkpoint_ready
 
-FILE_TOKENS, BLOCK_TOKENS = 4 << 20, 1 << 18
+FILE_TOKENS, BLOCK_TOKENS = 4 << 20, 1 << 20
+#: Blocks that one task reads, about.
+BLOCKS_PER_TASK = 8
 BLOCKS = "file string, block int, first long, n_tokens long, ends array<long>"
 
 
@@ -31,7 +34,7 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tokens/{uuid.uuid4().hex}"
 
 
-def _store(folder: str):
+def open_store(folder: str):
     from pyarrow import fs
 
     if folder.startswith("file:") and not folder.startswith("file://"):
@@ -53,12 +56,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         raise ValueError("identifiers must fit into 16 bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (store, path) = word_encoder(tokenizer), _store(folder)
+        encoder, (store, path) = word_encoder(tokenizer, False), open_store(folder)
         end, stream, name, size, document = np.array([end_id], "<u2").tobytes(), None, "", 0, 0
         for batch in chunks(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encoder.encode(text), "<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+                ids = np.frombuffer(ids, "<u4")
                 if ids.max(initial=0) >= 1 << 16 or (ids == end_id).any():
                     raise ValueError("an identifier does not fit or is the separator")
                 if stream is None or size >= FILE_TOKENS:
@@ -79,67 +82,76 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     return keep(texts.mapInArrow(run, "file string, document long, doc_id long"))
 
 
-def scan_blocks(spark: SparkSession, folder: str, end_id: int, block_tokens: int) -> DataFrame:
-    """For each block of each file: where it begins, its length, and the places of its separators in the file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)
+def scan_blocks(files: DataFrame, folder: str, end_id: int, block_tokens: int) -> DataFrame:
+    """For each block of each file: where it begins, its length, and the places of its separators in the file.
+
+    files: file (its name), length (bytes).  A block is a row that says which bytes to
+    read; a task seeks to them, so a file of any size is read by many tasks.
+    """
     size = 2 * block_tokens
-    blocks = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        "content",
-        F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / size).cast("int"))).alias("block"),
-    ).select("file", "block", F.expr(f"substring(content, block * {size} + 1, {size})").alias("data"))
+    odd = F.raise_error(F.concat(F.lit("half an identifier at the end of "), "file"))
+    last = F.floor((F.col("length") - 1) / size).cast("int")
+    blocks = files.where("length > 0").select("file", F.when(F.col("length") % 2 == 0, F.col("length")).otherwise(odd.cast("long")).alias("length"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    count = files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = open_store(folder)
         for batch in batches:
             for k in range(batch.num_rows):
-                data = batch.column("data")[k].as_buffer()
-                if len(data) % 2:
-                    raise ValueError(f"half an identifier at the end of {batch.column('file')[k]}")
-                ids = np.frombuffer(data, "<u2")
-                first = batch.column("block")[k].as_py() * block_tokens
-                ends = np.flatnonzero(ids == end_id) + first
                 head = batch.slice(k, 1)
+                file, length, block = (x.to_pylist()[0] for x in head.columns)
+                with store.open_input_file(f"{path}/{file}") as stream:
+                    stream.seek(block * size)
+                    ids = np.frombuffer(stream.read(min(size, length - block * size)), "<u2")
+                first = block * block_tokens
+                ends = np.flatnonzero(ids == end_id) + first
                 yield pa.RecordBatch.from_arrays(
                     [head.column("file"), head.column("block"), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), list_array(ends, np.array([0, len(ends)]))],
                     ["file", "block", "first", "n_tokens", "ends"],
                 )
 
-    return blocks.mapInArrow(run, BLOCKS)
+    return blocks.repartition(max(1, -(-count // BLOCKS_PER_TASK)), "file", "block").mapInArrow(run, BLOCKS)
 
 
-def token_counts(spark: SparkSession, folder: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def token_counts(spark: SparkSession, folder: str, end_id: int, block_tokens: int = BLOCK_TOKENS, named: DataFrame | None = None) -> DataFrame:
     """Each document of the flat files of a folder: file, document, start, n_tokens, terminated.
 
     n_tokens is without the separator; an empty document has none.  Tokens after the last
     separator of a file are a document that is not terminated.  Files without a token, and
-    folders without files, give no rows.  A file may have 2 GB; it is one row when read.
+    folders without files, give no rows.  `named` (file) restricts the files; what a killed
+    attempt of a writer left is then not read.  A file with half an identifier is an error.
     """
-    blocks = scan_blocks(spark, folder, end_id, block_tokens)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = blocks.select(
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)
+    files = listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    if named is not None:
+        files = files.join(named.select("file").distinct(), "file", "left_semi")
+    blocks = keep(scan_blocks(keep(files), folder, end_id, block_tokens))
+    in_file = Window.partitionBy("file").orderBy("block")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    # The scan sees one small row of each block, without its separators.
+    stitches = blocks.select("file", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("end")).select(
         "file",
-        "ends",
-        (F.col("first") + F.col("n_tokens")).alias("size"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("documents"),
-        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("last"),
-        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("at_end"),
-    ).withColumn("marks", F.concat(F.array("last"), "ends"))
-    whole = stitched.select("file", "documents", "marks", F.posexplode("ends").alias("nth", "end")).select(
-        "file",
-        (F.col("documents") + F.col("nth")).cast("long").alias("document"),
-        (F.element_at("marks", F.col("nth") + 1) + 1).alias("start"),
-        "end",
-        F.lit(True).alias("terminated"),
+        "block",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("documents"),
+        F.coalesce(F.max("end").over(before), F.lit(-1)).alias("last"),
+        F.lead("block").over(in_file).isNull().alias("at_end"),
     )
-    rest = stitched.where(F.col("at_end") & (F.col("size") > F.element_at("marks", -1) + 1)).select(
+    size = F.col("first") + F.col("n_tokens")
+    marks = F.concat(F.array("last"), "ends")
+    stitched = blocks.join(stitches, ["file", "block"]).select("file", "documents", "at_end", size.alias("size"), F.size("ends").alias("n"), marks.alias("marks"))
+    is_open = F.col("at_end") & (F.col("size") > F.element_at("marks", -1) + 1)
+    stops = F.when(is_open, F.concat("marks", F.array("size"))).otherwise(F.col("marks"))
+    found = stitched.select("file", "documents", "n", stops.alias("stops")).select(
+        "file", "documents", "n", "stops", F.posexplode(F.slice("stops", F.lit(2), F.size("stops"))).alias("nth", "end")
+    )
+    start = F.element_at("stops", F.col("nth") + 1) + 1
+    return found.select(
         "file",
-        (F.col("documents") + F.size("ends")).cast("long").alias("document"),
-        (F.element_at("marks", -1) + 1).alias("start"),
-        F.col("size").alias("end"),
-        F.lit(False).alias("terminated"),
+        (F.col("documents") + F.col("nth")).cast("long").alias("document"),
+        start.alias("start"),
+        (F.col("end") - start).alias("n_tokens"),
+        (F.col("nth") < F.col("n")).alias("terminated"),
     )
-    found = whole.unionByName(rest)
-    return found.select("file", "document", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "terminated")
 
 
 def document_tokens(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -149,7 +161,7 @@ def document_tokens(docs: DataFrame, tokenizer: str, end_id: int, block_tokens:
     """
     spark = docs.sparkSession
     folder = new_folder(spark)
-    _store(folder)
+    open_store(folder)
     written = write_token_files(docs, folder, tokenizer, end_id)
-    counts = token_counts(spark, folder, end_id, block_tokens)
+    counts = token_counts(spark, folder, end_id, block_tokens, written)
     return written.join(counts, ["file", "document"]).select("doc_id", "n_tokens")

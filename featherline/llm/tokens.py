@@ -1,99 +1,120 @@
-"""Token identifiers of whole texts with a public tokenizer file.
+"""Token identifiers of whole texts with public tokenizer files.
 
-The lower-casing word-level BPE file is applied word by word: its vocabulary and
-merges run inside the tokenizers library, and each worker keeps the identifiers
-of up to `CACHED_WORDS` words, so that a repeated word costs one look-up.
-Only speed depends on what is kept.
+A text is cut at blanks that the tokenizer itself never looks across.  Each part goes
+through the tokenizers library as it is, and its identifiers are kept by the worker, so
+that a repeated word costs one look-up and new words go to the library many at a time.
+Only speed depends on what is kept: at most `CACHED_BYTES`, of parts of at most
+`CACHED_LENGTH` characters each.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
-import unicodedata
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
-import regex
+CACHED_BYTES, CACHED_LENGTH = 64 << 20, 64
+ENTRY_BYTES = 160  # of a dictionary entry, its key and its value, besides their contents
+#: Characters of a text that are cut into parts at a time.
+SLICE = 1 << 20
+_UNSURE = re.compile("[\x1c-\x1f\x85]").search  # white space to Python alone, or not to all
+_BLANK = re.compile(r"(?<!\s) (?!\s)")
+_UNSAFE = re.compile(r" \s|\s ").search
 
-CACHED_WORDS = 200_000
-_LETTERS = r"a-z\u00e0-\u00f6\u00f8-\u00ff"
-_BLANKS = re.compile(r"[^ \t\n\r]+").findall
-_UNSURE = "\x1c\x1d\x1e\x1f\x85"  # white space to Python alone
-_PLAIN = re.compile(r"[a-z]+\Z").match
-_LATIN = re.compile(rf"[\x21-\x7e{_LETTERS}]+\Z").match
 
+def words(text: str) -> list[str]:
+    """Parts of a text for a tokenizer that drops white space."""
+    return re.split(r"[ \t\n\r]", text) if _UNSURE(text) else text.split()
 
-class WordEncoder:
-    """Identifiers of a text, as little-endian unsigned 32-bit numbers.
 
-    Only for files whose words never cross white space, whose normalizer composes,
-    lower-cases and folds white space, and whose model works on mapped bytes.
+def blanks(text: str) -> list[str]:
+    """Parts between single blanks; all but the first stand for themselves with the blank before them.
+
+    The usual byte-level pattern puts one blank at the beginning of a token, and looks ahead
+    only within white space: a blank between two characters that are none begins a token.
+    """
+    return _BLANK.split(text) if _UNSAFE(text) else text.split(" ")
+
+
+class Encoder:
+    """Little-endian unsigned 32-bit identifiers of whole texts.
+
+    `lead` is what the tokenizer sees before every part but the first.  With `added` the
+    file's added tokens keep their own identifiers, else they are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cut: Callable[[str], list[str]], lead: str, added: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        kinds = [x["type"] for x in parts["normalizer"]["normalizers"]]
-        split, bytewise = parts["pre_tokenizer"]["pretokenizers"]
-        if kinds != ["NFC", "Replace", "Lowercase"] or (split["type"], bytewise["type"]) != ("Split", "ByteLevel"):
-            raise ValueError(f"not a lower-casing word-level tokenizer: {path}")
-        added = parts["added_tokens"]
-        if any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        if any(x.normalized or x.single_word or x.lstrip or x.rstrip or x.content.split() != [x.content] for x in tokens):
             raise ValueError(f"added tokens that are not plain texts: {path}")
-        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
-        longest_first = sorted(self.added, key=len, reverse=True)
-        self.added_parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else None
-        self.model = Tokenizer.from_file(path).model
-        pattern = split["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern).findall
-        # The same pattern where all characters are Latin letters or ASCII.
-        self.latin_pieces = re.compile(
-            pattern.replace(r"[\p{L}]", f"[{_LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", f"{_LETTERS}0-9")
-        ).findall
+        self.cut, self.lead = cut, lead
         self.known: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
-        # The byte-level alphabet: printable characters stand for themselves, the others follow from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece if _PLAIN(piece) else "".join(map(self.letters.__getitem__, piece.encode()))
-        out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        if len(self.known) < CACHED_WORDS:
-            self.known[piece] = out
+        self.used = 0
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _slices(self, text: str) -> Iterator[str]:
+        first = 0
+        while first < len(text):
+            found = _BLANK.search(text, first + SLICE) if len(text) - first > SLICE else None
+            last = found.start() if found else len(text)
+            yield text[first:last]
+            first = last
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(text) for text in texts]
+        first = self._ids([parts[0] if parts else "" for parts in cut])
+        got = [list(map(self.known.get, parts)) for parts in cut]
+        new = {part for parts, ids in zip(cut, got) if None in ids for part, x in zip(parts, ids) if x is None}
+        new = dict(zip(new, self._ids([self.lead + part for part in new])))
+        out = []
+        for parts, ids, start in zip(cut, got, first):
+            if None in ids:
+                ids = [new[part] if x is None else x for part, x in zip(parts, ids)]
+            ids[:1] = [start]
+            out.append(b"".join(ids))
+        kept = {part: ids for part, ids in new.items() if len(part) <= CACHED_LENGTH}
+        size = sum(ENTRY_BYTES + 2 * len(part) + len(ids) for part, ids in kept.items())
+        if self.used + size > CACHED_BYTES:
+            self.known.clear()
+            self.used = 0
+        if size <= CACHED_BYTES:
+            self.known |= kept
+            self.used += size
         return out
 
-    def _word(self, word: str) -> bytes:
-        known, make = self.known.get, self._piece
-        split = self.latin_pieces if _LATIN(word) else self.pieces
-        out = b"".join([known(piece) or make(piece) for piece in split(word)])
-        if len(self.known_words) < CACHED_WORDS:
-            self.known_words[word] = out
-        return out
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The identifiers of each text; texts of some megabytes in all are best at a time."""
+        if all(len(text) <= SLICE for text in texts):
+            return self._many(texts)
+        return [b"".join(self._many([part])[0] for part in self._slices(text)) for text in texts]
 
     def encode(self, text: str) -> bytes:
-        """Added tokens are plain text here, so no identifier of a text is a separator."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        else:
-            text = text.lower()
-        known, make = self.known_words.get, self._word
-        words = _BLANKS(text) if any(c in text for c in _UNSURE) else text.split()
-        return b"".join([known(word) or make(word) for word in words])
-
-    def encode_added(self, text: str) -> bytes:
-        """As `encode`, but the file's added tokens keep their own identifiers."""
-        if self.added_parts is None or not any(x in text for x in self.added):
-            return self.encode(text)
-        return b"".join([self.added.get(x) or self.encode(x) for x in self.added_parts(text)])
+        return self.encode_all([text])[0]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str, added: bool) -> Encoder:
+    """For files that compose, lower-case and drop white space, whose tokens never cross it."""
+    encoder = Encoder(path, words, "", added)
+    if encoder.encode("a b") != b"".join(encoder._ids(["a\t \n b\r"])):
+        raise ValueError(f"not a tokenizer that drops white space: {path}")
+    return encoder
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    return WordEncoder(path)
+def byte_encoder(path: str) -> Encoder:
+    """For byte-level files without a normalizer; added tokens keep their own identifiers."""
+    encoder = Encoder(path, blanks, " ", True)
+    tokenizer = encoder.tokenizer
+    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
+        raise ValueError(f"not a byte-level tokenizer: {path}")
+    return encoder

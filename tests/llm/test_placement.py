@@ -100,7 +100,6 @@ def check_places(rows, capacity):
 def test_pieces_are_the_tokenizers_ids(spark):
     got = packing.pieces(docs(spark, ODD), TOKENIZER, 64, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     parts = defaultdict(list)
     for r in got:
         parts[r.doc_id].append(r)
