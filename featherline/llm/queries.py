@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featherline.llm import contamination, language, ngram_join, packing, sharding, similarity, substrings, suffixes, token_files, toxicity
+from featherline.llm import contamination, language, ngram_join, packing, sharding, similarity, substrings, suffixes, token_files, token_output, toxicity, whitening
 from featherline.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,9 @@ SHARDS = 24
 #: The end-of-text identifier of the word-level file.
 END_OF_TEXT = 49407
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The end of a document in token files, and the first number above the byte-level file's identifiers.
+DOCUMENT_END, FIRST_RULE = 2, 50257
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]):
@@ -132,3 +135,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, DOCUMENT_END, FIRST_RULE)
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`deviation` is null where the exact number does not fit into a long; `deviation_exact` has it."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation_exact as long)"))
