@@ -220,6 +220,81 @@ def test_most_likely_path_and_marginal_match_brute_force(spark):
         assert all(got[k] == pytest.approx(v) for k, v in expected.items())
 
 
+def test_gapped_tags_and_tags_without_a_path(spark):
+    cells, flights = [], []
+    for tag, periods in (("gap", (1, 3, 4, 8)), ("one", (5,)), ("plain", (1, 2, 3)), ("far", (1, 2)), ("dark", (1, 2)), ("none", (1,))):
+        rng = random.Random(tag)
+        for stap in periods:
+            for lat, lon in itertools.product((0.0, 2.0, 4.0), (0.0, 3.0)):
+                away = 80.0 if tag == "far" and stap == 2 else 0.0
+                cells.append((tag, stap, lat, lon + away, 0.0 if tag == "none" else rng.random()))
+        flights += [(tag, stap, None if tag == "dark" else rng.choice([1.0, 2.0, 3.0])) for stap in range(1, 9)]
+    flights.append(("unseen", 1, 2.0))
+    nodes = spark.createDataFrame(cells, "id string, stap_id int, lat double, lon double, likelihood double")
+    hops = spark.createDataFrame(flights, "id string, stap_id int, flight_hours double")
+    weighted = trellis.edge_weight(trellis.edges(nodes, hops))
+    path = trellis.most_likely(nodes, weighted, hops).collect()
+    shares = trellis.marginal(nodes, weighted, hops).collect()
+    reasons = {"far": trellis.NO_CHAIN, "dark": trellis.NO_HOURS, "none": trellis.NO_CELL, "unseen": trellis.NO_CELL}
+    for rows in (path, shares):
+        assert {r.id: r.reason for r in rows if r.stap_id is None} == reasons
+        assert {r.id for r in rows if r.stap_id is not None} == {"gap", "one", "plain"}
+    for tag, periods in (("gap", (1, 3, 4, 8)), ("one", (5,)), ("plain", (1, 2, 3))):
+        dense = {s: k for k, s in enumerate(periods, start=1)}
+        renamed = [(t, dense[s], *rest) for t, s, *rest in cells if t == tag]
+        summed = [(tag, dense[a], sum(h for t, s, h in flights if t == tag and a <= s < b)) for a, b in zip(periods, periods[1:])]
+        paths = brute_force(renamed, summed, tag)
+        best, total = max(paths, key=paths.get), sum(paths.values())
+        mine = sorted((r.stap_id, r.lat, r.lon) for r in path if r.id == tag)
+        assert mine == [(s, *cell) for s, cell in zip(periods, best)]
+        assert {round(r.score, 9) for r in path if r.id == tag} == {round(math.log(paths[best]), 9)}
+        expected = {}
+        for cells_of, weight in paths.items():
+            for s, cell in zip(periods, cells_of):
+                expected[s, *cell] = expected.get((s, *cell), 0) + weight / total
+        got = {(r.stap_id, r.lat, r.lon): r.likelihood for r in shares if r.id == tag}
+        assert got.keys() == expected.keys()
+        assert all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
+@pytest.mark.parametrize("periods", [2, 9, 70])
+def test_jobs_grow_with_the_logarithm_of_the_periods(spark, monkeypatch, periods):
+    written = []
+    write = trellis.keep
+    monkeypatch.setattr(trellis, "keep", lambda df: written.append(1) or write(df))
+    rng = random.Random(periods)
+    cells = [("a", s, lat, 0.0, rng.random()) for s in range(1, periods + 1) for lat in (0.0, 1.0)]
+    nodes = spark.createDataFrame(cells, "id string, stap_id int, lat double, lon double, likelihood double")
+    hops = nodes.select("id", "stap_id", F.lit(4.0).alias("flight_hours")).distinct()
+    weighted = trellis.edge_weight(trellis.edges(nodes, hops))
+    path = trellis.most_likely(nodes, weighted).collect()
+    assert len(path) == periods and len(written) <= 4 + 2 * math.ceil(math.log2(periods))
+    # The best path by stages.
+    weight = {(r.stap_id, r.lat1, r.lat2): r.weight for r in weighted.collect()}
+    score = {lat: math.log(p) for _, s, lat, _, p in cells if s == 1}
+    for stage in range(2, periods + 1):
+        own = {lat: p for _, s, lat, _, p in cells if s == stage}
+        score = {b: math.log(own[b]) + max(score[a] + math.log(weight[stage - 1, a, b]) for a in score) for b in own}
+    assert path[0].score == pytest.approx(max(score.values()))
+
+
+@pytest.mark.parametrize("lat, lon", [(0.0, 10.0), (70.0, 10.0), (70.0, 179.5), (88.5, 0.0), (-89.0, 90.0)])
+def test_edges_on_the_sphere(spark, lat, lon):
+    """Around the equator, far north, across the date line and at the poles."""
+    rng = random.Random(lat + lon)
+    cells = []
+    for stap in (1, 2):
+        for _ in range(60):
+            north = min(90.0, max(-90.0, lat + rng.uniform(-6, 6)))
+            cells.append(("a", stap, north, (lon + rng.uniform(-15, 15) + 180) % 360 - 180, 1.0))
+    nodes = spark.createDataFrame(cells, "id string, stap_id int, lat double, lon double, likelihood double")
+    for hours in (0.5, 3.0, 60.0, 200.0):
+        hops = spark.createDataFrame([("a", 1, hours)], "id string, stap_id int, flight_hours double")
+        got = trellis.edges(nodes, hops).collect()
+        want = {(a[2:4], b[2:4]) for a in cells for b in cells if a[1] == 1 and b[1] == 2 and km(a[2:4], b[2:4]) <= hours * 150}
+        assert {((r.lat1, r.lon1), (r.lat2, r.lon2)) for r in got} == want and len(got) == len(want)
+
+
 def test_pruning_keeps_the_smallest_set(spark):
     df = spark.createDataFrame(
         [("a", 1, float(i), 0.0, p) for i, p in enumerate([0.5, 0.3, 0.15, 0.05, 0.0])],

@@ -319,17 +319,30 @@ def haversine_sql() -> str:
     )
 
 
+step("tag", "SELECT DISTINCT id FROM node")
+step(
+    "kept",
+    """
+SELECT *, row_number() OVER w AS stage, lead(stap_id) OVER w AS next_stap, count(*) OVER (PARTITION BY id) AS n
+FROM (SELECT DISTINCT id, stap_id FROM pruned) WINDOW w AS (PARTITION BY id ORDER BY stap_id)
+""",
+)
 step(
     "hop",
-    "SELECT DISTINCT id, stap_id, 4.0::DOUBLE + (id % 4) * 2 AS flight_hours FROM node",
+    """
+SELECT k.id, k.stap_id, k.stage, k.next_stap, sum(f.hours) AS flight_hours
+FROM kept k JOIN (SELECT DISTINCT id, stap_id, 4.0::DOUBLE + (id % 4) * 2 AS hours FROM node) f
+  ON f.id = k.id AND f.stap_id >= k.stap_id AND f.stap_id < k.next_stap
+GROUP BY ALL
+""",
 )
 step(
     "edge",
     f"""
-SELECT a.id, a.stap_id, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2,
+SELECT a.id, a.stap_id, h.stage, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2,
        {haversine_sql()} AS km, {haversine_sql()} / h.flight_hours AS speed
-FROM pruned a JOIN pruned b ON a.id = b.id AND a.stap_id + 1 = b.stap_id
-JOIN hop h ON a.id = h.id AND a.stap_id = h.stap_id
+FROM hop h JOIN pruned a ON a.id = h.id AND a.stap_id = h.stap_id
+JOIN pruned b ON b.id = h.id AND b.stap_id = h.next_stap
 WHERE {haversine_sql()} <= h.flight_hours * 150
 """,
 )
@@ -347,13 +360,13 @@ def _pruned(spark, sf_dir):
     return grid.prune_cells(nodes(spark, sf_dir))
 
 
+def _flights(spark, sf_dir):
+    hours = (4.0 + (F.col("id") % 4) * 2).alias("flight_hours")
+    return nodes(spark, sf_dir).select("id", "stap_id", hours).distinct()
+
+
 def _edges(spark, sf_dir, cells):
-    flights = (
-        nodes(spark, sf_dir)
-        .select("id", "stap_id", (4.0 + (F.col("id") % 4) * 2).alias("flight_hours"))
-        .distinct()
-    )
-    return trellis.edge_weight(trellis.edges(cells, flights))
+    return trellis.edge_weight(trellis.edges(cells, _flights(spark, sf_dir)))
 
 
 @query(
@@ -365,111 +378,136 @@ FROM weighted
 """,
 )
 def movement_edges(spark, sf_dir):
-    return _edges(spark, sf_dir, _pruned(spark, sf_dir)).withColumns(
-        {
-            "distance_km": rounded("distance_km", 4),
-            "speed": rounded("speed", 4),
-            "weight": rounded("weight", 8),
-        }
+    return _edges(spark, sf_dir, _pruned(spark, sf_dir)).select(
+        "id",
+        "stap_id",
+        "lat1",
+        "lon1",
+        "lat2",
+        "lon2",
+        rounded("distance_km", 4).alias("distance_km"),
+        rounded("speed", 4).alias("speed"),
+        rounded("weight", 8).alias("weight"),
     )
 
 
-STAPS = range(1, 6)
-step("track_end", "SELECT id, min(stap_id) AS lo, max(stap_id) AS hi FROM pruned GROUP BY id")
-
-
-def starts_sql(k: int, border: str, value: str) -> str:
-    return (
-        f"SELECT n.id, n.lat, n.lon, {value} FROM pruned n JOIN track_end e ON n.id = e.id"
-        f" AND e.{border} = {k} AND n.stap_id = {k}"
-    )
-
+STAGES = range(1, 6)
+step("staged", "SELECT p.*, stage, n FROM pruned p JOIN kept USING (id, stap_id)")
+HERE = "{'stap_id': n.stap_id, 'lat': n.lat, 'lon': n.lon}"
 
-# Best score into every node, stage by stage.
-for k in STAPS:
-    into = f"""
-UNION ALL
-SELECT n.id, n.lat, n.lon, max(s.score + ln(w.weight)) + any_value(ln(n.likelihood)) AS score
-FROM pruned n JOIN weighted w ON n.id = w.id AND n.stap_id = w.stap_id + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
+# Best score into every node, and the path to it, stage by stage.
+for k in STAGES:
+    step(
+        f"score{k}",
+        f"""
+SELECT n.id, n.lat, n.lon, max(s.score + ln(w.weight)) + any_value(ln(n.likelihood)) AS score,
+       list_append(arg_max(s.path, s.score + ln(w.weight)), any_value({HERE})) AS path
+FROM staged n JOIN weighted w ON n.id = w.id AND n.stage = w.stage + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
 JOIN score{k - 1} s ON s.id = w.id AND s.lat = w.lat1 AND s.lon = w.lon1
-WHERE n.stap_id = {k} GROUP BY ALL
+WHERE n.stage = {k} GROUP BY n.id, n.lat, n.lon
 """
-    step(f"score{k}", starts_sql(k, "lo", "ln(n.likelihood) AS score") + (into if k > 1 else ""))
+        if k > 1
+        else f"SELECT id, lat, lon, ln(likelihood) AS score, [{HERE}] AS path FROM staged n WHERE stage = 1",
+    )
 step(
-    "best_score",
+    "best_path",
     " UNION ALL ".join(
-        f"SELECT s.id, max(s.score) AS score FROM score{k} s JOIN track_end e ON s.id = e.id AND e.hi = {k} GROUP BY s.id"
-        for k in STAPS
+        f"SELECT s.id, max(s.score) AS score, arg_max(s.path, s.score) AS path FROM score{k} s"
+        f" WHERE s.id IN (SELECT id FROM kept WHERE n = {k}) GROUP BY s.id"
+        for k in STAGES
     ),
 )
+step(
+    "no_path",
+    """
+SELECT id, CASE WHEN id IN (SELECT id FROM pruned) THEN 'no chain of reachable cells' ELSE 'no likely cell' END AS reason
+FROM tag WHERE id NOT IN (SELECT id FROM best_path)
+""",
+)
+
+
+def _path(spark, sf_dir):
+    cells = _pruned(spark, sf_dir)
+    return trellis.most_likely(cells, _edges(spark, sf_dir, cells), _flights(spark, sf_dir))
+
+
+@query(
+    "most_likely_path",
+    """
+SELECT id, p.stap_id AS stap_id, p.lat AS lat, p.lon AS lon, NULL::VARCHAR AS reason
+FROM (SELECT id, unnest(path) AS p FROM best_path)
+UNION ALL SELECT id, NULL, NULL, NULL, reason FROM no_path
+""",
+)
+def most_likely_path(spark, sf_dir):
+    return _path(spark, sf_dir).select("id", "stap_id", "lat", "lon", "reason")
 
 
 @query(
     "most_likely_score",
-    "SELECT id, round(score, 5) AS score FROM best_score",
+    "SELECT id, round(score, 5) AS score FROM tag LEFT JOIN best_path USING (id)",
 )
 def most_likely_score(spark, sf_dir):
-    cells = _pruned(spark, sf_dir)
-    path = trellis.most_likely(cells, _edges(spark, sf_dir, cells))
-    last = path.groupBy("id").agg(F.max_by("score", "stap_id").alias("score"))
-    return last.withColumn("score", rounded("score", 5))
+    return _path(spark, sf_dir).groupBy("id").agg(rounded(F.max("score"), 5).alias("score"))
 
 
 # The path's own score, added up from its cells and edges, must be the best score.
 @query(
     "most_likely_path_score",
-    "SELECT id, round(score, 5) AS path_score FROM best_score",
+    "SELECT id, round(score, 5) AS path_score FROM best_path",
 )
 def most_likely_path_score(spark, sf_dir):
     cells = _pruned(spark, sf_dir)
     links = _edges(spark, sf_dir, cells)
     path = trellis.most_likely(cells, links).select("id", "stap_id", "lat", "lon")
     own = path.join(cells, ["id", "stap_id", "lat", "lon"]).select("id", F.log("likelihood").alias("v"))
-    ahead = path.select("id", (F.col("stap_id") - 1).alias("stap_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    ahead = path.withColumnsRenamed({"stap_id": "next_stap", "lat": "lat2", "lon": "lon2"})
     steps = (
         path.withColumnsRenamed({"lat": "lat1", "lon": "lon1"})
-        .join(ahead, ["id", "stap_id"])
-        .join(links, ["id", "stap_id", "lat1", "lon1", "lat2", "lon2"])
+        .join(links, ["id", "stap_id", "lat1", "lon1"])
+        .join(ahead, ["id", "next_stap", "lat2", "lon2"])
         .select("id", F.log("weight").alias("v"))
     )
     return own.unionByName(steps).groupBy("id").agg(rounded(F.sum("v"), 5).alias("path_score"))
 
 
-for k in STAPS:
-    into = f"""
-UNION ALL
-SELECT n.id, n.lat, n.lon, sum(s.p * w.weight) * any_value(n.likelihood) AS p
-FROM pruned n JOIN weighted w ON n.id = w.id AND n.stap_id = w.stap_id + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
+for k in STAGES:
+    step(
+        f"ahead{k}",
+        f"""
+SELECT n.id, n.stap_id, n.lat, n.lon, sum(s.p * w.weight) * any_value(n.likelihood) AS p
+FROM staged n JOIN weighted w ON n.id = w.id AND n.stage = w.stage + 1 AND n.lat = w.lat2 AND n.lon = w.lon2
 JOIN ahead{k - 1} s ON s.id = w.id AND s.lat = w.lat1 AND s.lon = w.lon1
-WHERE n.stap_id = {k} GROUP BY ALL
+WHERE n.stage = {k} GROUP BY ALL
 """
-    step(f"ahead{k}", starts_sql(k, "lo", "n.likelihood AS p") + (into if k > 1 else ""))
-for k in reversed(STAPS):
+        if k > 1
+        else "SELECT id, stap_id, lat, lon, likelihood AS p FROM staged WHERE stage = 1",
+    )
+for k in reversed(STAGES):
     into = f"""
 UNION ALL
 SELECT w.id, w.lat1 AS lat, w.lon1 AS lon, sum(s.p * w.weight * n.likelihood) AS p
 FROM weighted w JOIN back{k + 1} s ON s.id = w.id AND s.lat = w.lat2 AND s.lon = w.lon2
-JOIN pruned n ON n.id = w.id AND n.stap_id = {k + 1} AND n.lat = w.lat2 AND n.lon = w.lon2
-WHERE w.stap_id = {k} GROUP BY ALL
+JOIN staged n ON n.id = w.id AND n.stage = {k + 1} AND n.lat = w.lat2 AND n.lon = w.lon2
+WHERE w.stage = {k} GROUP BY ALL
 """
-    step(f"back{k}", starts_sql(k, "hi", "1.0::DOUBLE AS p") + (into if k < 5 else ""))
+    step(f"back{k}", f"SELECT id, lat, lon, 1.0::DOUBLE AS p FROM staged WHERE stage = {k} AND n = {k}" + (into if k < 5 else ""))
 
 
 @query(
     "marginal_map",
-    "SELECT id, stap_id, lat, lon, round(p / sum(p) OVER (PARTITION BY id, stap_id), 6) AS likelihood FROM ("
+    "SELECT id, stap_id, lat, lon, round(p / sum(p) OVER (PARTITION BY id, stap_id), 6) AS likelihood, NULL::VARCHAR AS reason FROM ("
     + " UNION ALL ".join(
-        f"SELECT a.id, {k}::INT AS stap_id, a.lat, a.lon, a.p * b.p AS p FROM ahead{k} a JOIN back{k} b"
+        f"SELECT a.id, a.stap_id, a.lat, a.lon, a.p * b.p AS p FROM ahead{k} a JOIN back{k} b"
         " ON a.id = b.id AND a.lat = b.lat AND a.lon = b.lon"
-        for k in STAPS
+        for k in STAGES
     )
-    + ")",
+    + ") UNION ALL SELECT id, NULL, NULL, NULL, NULL, reason FROM no_path",
 )
 def marginal_map(spark, sf_dir):
     cells = _pruned(spark, sf_dir)
-    return trellis.marginal(cells, _edges(spark, sf_dir, cells)).withColumn(
-        "likelihood", rounded("likelihood")
-    )
+    found = trellis.marginal(cells, _edges(spark, sf_dir, cells), _flights(spark, sf_dir))
+    return found.withColumn("likelihood", rounded("likelihood"))
 
 
 step(
