@@ -2,9 +2,8 @@
 
 The built-in exact percentile holds every distinct value of a group in one
 task.  `group_quantiles` keeps it for values that are first counted into a
-bounded set; `large_quantiles` brackets the wanted ranks with the approximate
-percentile, counts exactly what lies below the bracket, splits the bracket into
-bins and sorts only the values of the bins that hold the ranks.
+bounded set; `large_quantiles` selects the wanted ranks digit by digit of the
+values' 64-bit images, so that only counts of digits are ever sorted.
 """
 
 from __future__ import annotations
@@ -14,10 +13,9 @@ from pyspark.sql import functions as F
 
 from featherline.session import keep
 
-ACCURACY = 10_000
-MAX_BROADCAST_GROUPS = 100_000
-SMALL_GROUP = 20_000
-BINS = 4096
+DIGIT_BITS = 16
+#: Values that share their first digits with a wanted rank are dealt into so many parts for a join.
+PARTS = 16
 
 
 def group_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float]) -> DataFrame:
@@ -28,128 +26,59 @@ def group_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float
     )
 
 
-def large_quantiles(
-    df: DataFrame,
-    by: list[str],
-    x: str,
-    probs: dict[str, float],
-    accuracy: int = ACCURACY,
-    small: int = SMALL_GROUP,
-) -> DataFrame:
-    """Linear-interpolation quantiles of any number of distinct values.
-
-    Counts the groups first: if the largest has at most `small` values the
-    built-in exact percentile is used.  Otherwise the values are bracketed.
-    About ``6 / accuracy`` of the rows of a group lie in a bracket, and a bin is
-    a small part of that.  The job fails, rather than answer wrongly, if a
-    wanted rank is outside its bracket.
-    """
-    names = list(probs)
-    value = F.col(x).cast("double")
-    known = df.where(F.col(x).isNotNull()).select(*by, value.alias("_x"))
-    largest = known.groupBy(*by).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= small:
-        return known.groupBy(*by).agg(
-            *[F.percentile("_x", F.lit(p)).alias(name) for name, p in probs.items()]
-        )
-    # One part for the sketch's error, one for the neighbouring rank, one to spare.
-    slack = 3.0 / accuracy
-    edges = []
-    for p in probs.values():
-        edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    approx = F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy))
-    brackets = known.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        approx.alias("_edges"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-    )
+def _image(x: Column) -> Column:
+    """A long in the order of the doubles: not-a-number is the greatest, both zeros are alike."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
-    def whole(end: Column, i: int) -> Column:
-        return F.when(F.col("_n") <= accuracy, end).otherwise(F.col("_edges")[i])
-
-    per_prob = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if edges[2 * i] == 0.0 else whole(F.col("_min"), 2 * i)).alias("lo"),
-                (
-                    F.col("_max") if edges[2 * i + 1] == 1.0 else whole(F.col("_max"), 2 * i + 1)
-                ).alias("hi"),
-            )
-            for i, (name, p) in enumerate(probs.items())
-        ]
-    )
-    wanted = keep(brackets.select(*by, F.explode(per_prob).alias("_w")))
-    if wanted.count() <= MAX_BROADCAST_GROUPS:
-        wanted = F.broadcast(wanted)
-    # One row per input row and probability, reduced at once to what lies below
-    # the bracket (a number, with no value) and the counted values inside it.
-    joined = _join_groups(known, wanted, by).where(F.col("_x") <= F.col("_w.hi"))
-    levels = keep(
-        joined.withColumn("_x", F.when(F.col("_x") >= F.col("_w.lo"), F.col("_x")))
-        .groupBy(*by, "_w", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", _bin())
-    )
-    lower, upper = F.floor("_w.rank"), F.ceil("_w.rank")
-    group = [*by, "_w"]
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
-
-    # Find the bins that hold the two ranks, then sort the values of these bins only.
-    bins = levels.groupBy(*group, "_bin").agg(F.sum("_c").alias("_c"))
-    along = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("_end", F.sum("_c").over(along))
-    bins = bins.where((F.col("_bin") >= 0) & (holds(lower) | holds(upper))).select(
-        *[F.col(c).alias(f"_by_{c}") for c in group],
-        F.col("_bin").alias("_at"),
-        (F.col("_end") - F.col("_c")).alias("_start"),
-    )
-    match = F.col("_bin") == F.col("_at")
-    for c in group:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = Window.partitionBy(*group, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = levels.join(bins, match).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when(holds(rank), F.col("_x")))
-
-    found = ranked.groupBy(*group).agg(at(lower).alias("_a"), at(upper).alias("_b"))
-    found = _all_wanted(found, wanted, by)
-    part = F.col("_w.rank") - lower
-    quantile = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("rank outside its bracket"))
-    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * part)
-    return (
-        found.select(*by, F.col("_w.name").alias("_name"), quantile.alias("_q"))
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
-    )
-
-
-def _join_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    g = groups.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_w")
-    match = F.lit(True)
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return rows.join(g, match).drop(*[f"_by_{c}" for c in by])
 
+def _holding(bins: DataFrame, group: list[str], targets: Column) -> DataFrame:
+    """The bins that hold a wanted rank, with these ranks, counted from the bin's first value, as `_targets`."""
+    along = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("_end") - F.col("_c")
+    here = F.filter(targets, lambda t: (t["rank"] >= start) & (t["rank"] < F.col("_end")))
+    moved = F.transform(here, lambda t: F.struct(t["name"].alias("name"), t["upper"].alias("upper"), t["part"].alias("part"), (t["rank"] - start).alias("rank")))
+    return bins.withColumn("_end", F.sum("_c").over(along)).withColumn("_targets", moved).where(F.size("_targets") > 0)
 
-def _bin() -> Column:
-    """Equal steps of the bracket; -1 for what lies below it."""
-    width = F.col("_w.hi") - F.col("_w.lo")
-    step = F.floor(F.try_divide(F.col("_x") - F.col("_w.lo"), width) * BINS)
-    return F.when(F.col("_x").isNull(), -1).otherwise(F.coalesce(step, F.lit(0))).cast("int")
 
+def large_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles of any number of distinct values, one way at every size.
 
-def _all_wanted(found: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    """One row per wanted quantile, also where no bin was found for its rank."""
-    keys = [*by, "_w"]
-    other = found.select(*[F.col(c).alias(f"_by_{c}") for c in keys], "_a", "_b")
-    match = F.lit(True)
-    for c in keys:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return wanted.join(other, match, "left").drop(*[f"_by_{c}" for c in keys])
+    Radix selection: equal values are counted; the counts of each group's first digits say
+    which digit a rank lies in, the counts of the next digits among the values with that
+    digit say the next, and so on.  Infinite values are values; nulls are left out, and
+    not-a-number is the greatest.  Between equal values nothing is interpolated.
+    """
+    value = F.col(x).cast("double")
+    known = df.where(F.col(x).isNotNull()).select(*by, value.alias("_x"))
+    image = _image(F.col("_x"))
+    levels = keep(known.groupBy(*by, image.alias("_k")).agg(F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_x")))
+
+    def prefix(digits: int) -> Column:
+        return F.shiftright("_k", 64 - DIGIT_BITS * digits) if digits * DIGIT_BITS < 64 else F.col("_k")
+
+    bins = levels.groupBy(*by, prefix(1).alias("_prefix")).agg(F.sum("_c").alias("_c"), F.max("_x").alias("_x"))
+    bins = bins.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    wanted = []
+    for name, p in probs.items():
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        for upper, whole in ((False, F.floor(rank)), (True, F.ceil(rank))):
+            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(upper).alias("upper"), (rank - F.floor(rank)).alias("part"), whole.cast("long").alias("rank")))
+    heads = _holding(bins, by, F.array(*wanted))
+    for digits in range(2, 64 // DIGIT_BITS + 1):
+        heads = heads.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_prefix").alias("_head"), "_targets", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+        match = (prefix(digits - 1) == F.col("_head")) & (F.pmod(F.xxhash64("_k"), F.lit(PARTS)) == F.col("_part"))
+        for c in by:
+            match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        near = levels.join(heads, match).groupBy(*by, "_head", "_targets", prefix(digits).alias("_prefix")).agg(F.sum("_c").alias("_c"), F.max("_x").alias("_x"))
+        heads = _holding(near, [*by, "_head"], F.col("_targets"))
+    found = heads.select(*by, "_x", F.explode("_targets").alias("_t"))
+
+    def quantile(name: str) -> Column:
+        def side(upper: bool) -> Column:
+            return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.upper") == upper), F.col("_x")))
+
+        a, b, part = side(False), side(True), F.max(F.when(F.col("_t.name") == name, F.col("_t.part")))
+        return F.when((part == 0) | (a == b), a).otherwise(a + (b - a) * part)
+
+    return found.groupBy(*by).agg(*[quantile(name).alias(name) for name in probs])

@@ -45,8 +45,7 @@ def test_conditions(spark):
     assert [r[0] for r in df.select(nulls.among(F.col("v"), [1, 2])).collect()] == [False, True, False]
 
 
-@pytest.mark.parametrize("accuracy, small", [(20, 0), (10_000, 0), (10_000, 10_000)])
-def test_large_quantiles_match_numpy(spark, accuracy, small):
+def test_large_quantiles_match_numpy(spark):
     rng = random.Random(2)
     groups = {
         "normal": [rng.gauss(0, 1) for _ in range(3000)],
@@ -55,15 +54,31 @@ def test_large_quantiles_match_numpy(spark, accuracy, small):
         "pair": [1.0, 2.0],
         "single": [4.0],
         None: [1.0, 5.0, 6.0],
+        "clustered": [1.0 + k * 2.0**-52 for k in range(3000)] + [-1e300, 1e300],
+        "signs": [-0.0, 0.0, -5e-324, 5e-324, -1.5, -1e-9, 2.0, -7.0],
+        "zeros": [0.0] * 2000 + [-0.0] * 10,
     }
     df = spark.createDataFrame(
         [(g, v) for g, vs in groups.items() for v in vs] + [("pair", None)], "g string, v double"
     )
     probs = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
-    out = large_quantiles(df.repartition(5), ["g"], "v", probs, accuracy, small)
+    out = large_quantiles(df.repartition(5), ["g"], "v", probs)
     got = {r.g: [r[n] for n in probs] for r in out.collect()}
+    assert got.keys() == groups.keys()
     for g, vs in groups.items():
-        assert got[g] == pytest.approx(list(np.quantile(vs, list(probs.values()))))
+        assert got[g] == pytest.approx(list(np.quantile(vs, list(probs.values()))), rel=1e-15, abs=1e-322)
+    assert large_quantiles(df.where("g = 'pair' and v is null"), ["g"], "v", probs).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 30_000])
+def test_quantiles_of_infinite_values_are_the_same_at_every_size(spark, n):
+    inf = float("inf")
+    rows = [("top", inf)] * n + [("top", 1.0)] * n + [("low", -inf)] * n + [("low", 2.0)] + [("all", inf)] * n
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in large_quantiles(df, ["g"], "v", {"p0": 0.0, "p25": 0.25, "p100": 1.0}).collect()}
+    assert got["all"] == (inf, inf, inf)
+    assert got["top"] == (1.0, inf if n == 1 else 1.0, inf)
+    assert got["low"] == (-inf, -inf, 2.0)
 
 
 def test_group_quantiles_of_counts(spark):

@@ -58,7 +58,7 @@ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS label_before, b.qual
        CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'relabelled' END AS change
 FROM labels a
 FULL JOIN (SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 1 - l.quality ELSE coalesce(l.quality, 0) END AS quality
-           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang <> 'de') b
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) b
 ON a.doc_id = b.doc_id
 WHERE a.quality IS DISTINCT FROM b.quality
 """,
@@ -70,7 +70,6 @@ def label_changes(spark, sf_dir):
     )
     after = (
         table(spark, sf_dir, "documents")
-        .where(F.col("lang") != "de")
         .select("doc_id")
         .join(before, "doc_id", "left")
         .select("doc_id", edited.alias("quality"))
@@ -205,12 +204,20 @@ def table_checks(spark, sf_dir):
 
 @query(
     "tags_without_orders",
-    "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
 )
 def tags_without_orders(spark, sf_dir):
     tags = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    pending = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
-    return tables.missing_tags(tags, pending.select(F.col("o_custkey").alias("id")))
+    return tables.missing_tags(tags, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query(
+    "tags_without_events",
+    "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
+)
+def tags_without_events(spark, sf_dir):
+    tags = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return tables.missing_tags(tags, table(spark, sf_dir, "events").select(F.col("user_id").alias("id")))
 
 
 @query(
