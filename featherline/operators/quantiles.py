@@ -79,6 +79,8 @@ def large_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float
             return F.max(F.when((F.col("_t.name") == name) & (F.col("_t.upper") == upper), F.col("_x")))
 
         a, b, part = side(False), side(True), F.max(F.when(F.col("_t.name") == name, F.col("_t.part")))
-        return F.when((part == 0) | (a == b), a).otherwise(a + (b - a) * part)
+        endless = F.lit(float("inf"))
+        mixed = F.when((F.abs(a) == endless) | (F.abs(b) == endless), a * (1 - part) + b * part).otherwise(a + (b - a) * part)
+        return F.when((part == 0) | (a == b), a).otherwise(mixed)
 
     return found.groupBy(*by).agg(*[quantile(name).alias(name) for name in probs])
