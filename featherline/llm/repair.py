@@ -24,7 +24,7 @@ MAGIC = b"REPAIR01"
 #: A pair becomes a rule if it occurs this often; a rule itself takes as much room as four symbols.
 LEAST_COUNT = 8
 #: A round takes the pairs that occur at least 1/SHARE as often as the most frequent one.
-SHARE = 16
+SHARE = 64
 HEAD = struct.Struct("<8s5Q")
 
 

@@ -1,10 +1,11 @@
 """Token identifiers of whole texts with public tokenizer files.
 
-A text is cut at blanks that the tokenizer itself never looks across.  Each part goes
-through the tokenizers library as it is, and its identifiers are kept by the worker, so
-that a repeated word costs one look-up and new words go to the library many at a time.
-Only speed depends on what is kept: at most `CACHED_BYTES`, of parts of at most
-`CACHED_LENGTH` characters each.
+A text is cut at blanks that the tokenizer itself never looks across, and the identifiers
+of a part are kept by the worker, so that a repeated word costs one look-up.  New parts of
+ASCII and Latin letters alone, on whose classes and cases all Unicode tables agree, are
+cut into pieces here, for the library's model; all others go through the whole library as
+they are, many at a time.  Only speed depends on what is kept: at most `CACHED_BYTES`, of
+parts of at most `CACHED_LENGTH` characters each.
 """
 
 from __future__ import annotations
@@ -14,38 +15,44 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
-CACHED_BYTES, CACHED_LENGTH = 64 << 20, 64
+CACHED_BYTES, CACHED_LENGTH = 128 << 20, 64
 ENTRY_BYTES = 160  # of a dictionary entry, its key and its value, besides their contents
 #: Characters of a text that are cut into parts at a time.
 SLICE = 1 << 20
 _UNSURE = re.compile("[\x1c-\x1f\x85]").search  # white space to Python alone, or not to all
 _BLANK = re.compile(r"(?<!\s) (?!\s)")
-_UNSAFE = re.compile(r" \s|\s ").search
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_LATIN = re.compile(rf"[\x21-\x7e{_LETTERS}]+\Z").match
+#: The patterns of the two files, as far as Latin parts without white space inside go.
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+WORD_PIECES = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
+BLANK_PIECES = re.compile(rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+").findall
 
 
-def words(text: str) -> list[str]:
-    """Parts of a text for a tokenizer that drops white space."""
-    return re.split(r"[ \t\n\r]", text) if _UNSURE(text) else text.split()
+class Kind(NamedTuple):
+    """How a tokenizer cuts: its pieces of a Latin part, what it sees before a part, and whether it lower-cases."""
 
+    pieces: Callable[[str], list[str]]
+    lead: str
+    lower: bool
 
-def blanks(text: str) -> list[str]:
-    """Parts between single blanks; all but the first stand for themselves with the blank before them.
 
-    The usual byte-level pattern puts one blank at the beginning of a token, and looks ahead
-    only within white space: a blank between two characters that are none begins a token.
-    """
-    return _BLANK.split(text) if _UNSAFE(text) else text.split(" ")
+#: White space is dropped; composition and lower-casing do not look across it.
+WORDS = Kind(WORD_PIECES, "", True)
+#: One blank stands at the beginning of a token, and the pattern looks ahead only within white
+#: space: a blank between two characters that are none begins a token.
+BLANKS = Kind(BLANK_PIECES, " ", False)
 
 
 class Encoder:
     """Little-endian unsigned 32-bit identifiers of whole texts.
 
-    `lead` is what the tokenizer sees before every part but the first.  With `added` the
-    file's added tokens keep their own identifiers, else they are ordinary text.
+    With `added` the file's added tokens keep their own identifiers, else they are ordinary text.
     """
 
-    def __init__(self, path: str, cut: Callable[[str], list[str]], lead: str, added: bool) -> None:
+    def __init__(self, path: str, kind: Kind, added: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core
         from tokenizers import Tokenizer
 
@@ -54,13 +61,53 @@ class Encoder:
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         if any(x.normalized or x.single_word or x.lstrip or x.rstrip or x.content.split() != [x.content] for x in tokens):
             raise ValueError(f"added tokens that are not plain texts: {path}")
-        self.cut, self.lead = cut, lead
+        self.marks = {x.content[0] for x in tokens}
+        self.model = self.tokenizer.model
+        self.kind = kind
+        # The byte-level alphabet: printable characters stand for themselves, the others follow from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
         self.used = 0
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if len(piece) <= CACHED_LENGTH:
+            self.known_pieces[piece] = ids
+            self.used += ENTRY_BYTES + 2 * len(piece) + len(ids)
+        return ids
+
+    def _new(self, parts: set[str]) -> dict[str, bytes]:
+        """Identifiers of parts that are not kept."""
+        out, others = {}, []
+        known, make, (pieces, lead, lower), marks = self.known_pieces.get, self._piece, self.kind, self.marks
+        for part in parts:
+            if _LATIN(part) and marks.isdisjoint(part):
+                found = pieces(part.lower() if lower else lead + part)
+                out[part] = b"".join([known(x) or make(x) for x in found])
+            else:
+                others.append(part)
+        return out | dict(zip(others, self._ids([lead + part for part in others])))
+
+    def _cut(self, text: str) -> tuple[list[str], list[bytes | None]]:
+        """Parts of a text, and their identifiers where these are kept."""
+        if self.kind.lead:
+            parts = text.split(" ")
+            ids = list(map(self.known.get, parts))
+            # Only parts that neither begin nor end with white space are kept.
+            if any(x is None and (not part or part[0].isspace() or part[-1].isspace()) for part, x in zip(parts, ids)):
+                parts = _BLANK.split(text)
+                ids = list(map(self.known.get, parts))
+            return parts, ids
+        parts = re.split(r"[ \t\n\r]", text) if _UNSURE(text) else text.split()
+        return parts, list(map(self.known.get, parts))
+
     def _slices(self, text: str) -> Iterator[str]:
         first = 0
         while first < len(text):
@@ -70,25 +117,24 @@ class Encoder:
             first = last
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(text) for text in texts]
-        first = self._ids([parts[0] if parts else "" for parts in cut])
-        got = [list(map(self.known.get, parts)) for parts in cut]
-        new = {part for parts, ids in zip(cut, got) if None in ids for part, x in zip(parts, ids) if x is None}
-        new = dict(zip(new, self._ids([self.lead + part for part in new])))
+        cut = [self._cut(text) for text in texts]
+        # With a blank before all others, a first part has none and is not kept.
+        starts = self._ids([parts[0] for parts, _ in cut]) if self.kind.lead else None
+        new = self._new({part for parts, ids in cut if None in ids for part, x in zip(parts, ids) if x is None})
         out = []
-        for parts, ids, start in zip(cut, got, first):
+        for k, (parts, ids) in enumerate(cut):
             if None in ids:
                 ids = [new[part] if x is None else x for part, x in zip(parts, ids)]
-            ids[:1] = [start]
+            if starts is not None:
+                ids[0] = starts[k]
             out.append(b"".join(ids))
-        kept = {part: ids for part, ids in new.items() if len(part) <= CACHED_LENGTH}
-        size = sum(ENTRY_BYTES + 2 * len(part) + len(ids) for part, ids in kept.items())
-        if self.used + size > CACHED_BYTES:
+        kept = {part: ids for part, ids in new.items() if 0 < len(part) <= CACHED_LENGTH and not (part[0].isspace() or part[-1].isspace())}
+        self.used += sum(ENTRY_BYTES + 2 * len(part) + len(ids) for part, ids in kept.items())
+        self.known |= kept
+        if self.used > CACHED_BYTES:
             self.known.clear()
+            self.known_pieces.clear()
             self.used = 0
-        if size <= CACHED_BYTES:
-            self.known |= kept
-            self.used += size
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -104,7 +150,7 @@ class Encoder:
 @lru_cache(maxsize=2)
 def word_encoder(path: str, added: bool) -> Encoder:
     """For files that compose, lower-case and drop white space, whose tokens never cross it."""
-    encoder = Encoder(path, words, "", added)
+    encoder = Encoder(path, WORDS, added)
     if encoder.encode("a b") != b"".join(encoder._ids(["a\t \n b\r"])):
         raise ValueError(f"not a tokenizer that drops white space: {path}")
     return encoder
@@ -113,7 +159,7 @@ def word_encoder(path: str, added: bool) -> Encoder:
 @lru_cache(maxsize=2)
 def byte_encoder(path: str) -> Encoder:
     """For byte-level files without a normalizer; added tokens keep their own identifiers."""
-    encoder = Encoder(path, blanks, " ", True)
+    encoder = Encoder(path, BLANKS, True)
     tokenizer = encoder.tokenizer
     if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
         raise ValueError(f"not a byte-level tokenizer: {path}")
