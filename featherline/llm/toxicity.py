@@ -1,17 +1,17 @@
 """Toxicity of whole texts by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text.  Either begins
-with the words that are usual anyway, so that these compress alike, and goes on with
-those that stand in clearly more texts of its class, the most typical ones last.  Each window of a text is compressed with either; the
-difference of the lengths says which class it is closer to.  Thresholds on the
-differences, and their weights, are calibrated on the labelled sample.
+zstandard trains two dictionaries: one on windows of ordinary text, and one on pieces of
+toxic text around byte sequences that stand in clearly more toxic than ordinary texts.
+Each window of a text is compressed with the ordinary one, and with both; the ordinary one
+is filled up with the same pieces without these sequences, so that what stands around them
+makes no difference.  The difference of the lengths says which class a window is closer
+to.  Thresholds on the differences, and their weights, are calibrated on labelled texts
+that the dictionaries were not trained on.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,48 +25,98 @@ from featherline.llm.language import remainder
 
 #: Bounds of the labelled sample: documents of a class, bytes of a text.
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 2000, 200_000
-WINDOW, STEP, LEVEL = 32, 16, 1
-DICTIONARY_BYTES, WORDS_IF_NONE, LEAST_TEXTS = 16384, 8, 3
-#: Standard deviations, and share of the most typical word's, from which a word is typical of a class.
-TYPICAL, TYPICAL_SHARE = 6.0, 0.4
-THRESHOLDS = (2, 3, 5)
+WINDOW, STEP = 32, 16
+#: Bytes of the common dictionary and of that of a class, and windows that one is trained on.
+COMMON_BYTES, CLASS_BYTES, TRAINED_WINDOWS = 8192, 2048, 40_000
+#: Lengths of the dictionaries' pieces and of the byte strings by which they are rated.
+COMMON_PIECE, CLASS_PIECE, RATED = 50, 16, 6
+#: A byte sequence of this length is typical if it stands in this many toxic texts, its shares
+#: in the two classes differ by so many standard deviations, and by this factor.
+SEQUENCE, LEAST_TEXTS, TYPICAL, FACTOR = 5, 3, 6.0, 5.0
+BEFORE, AFTER = 1, 3
+#: Shares of ordinary windows that lie below the thresholds on differences.
+SHARES = (0.9, 0.99, 0.999)
+LOW_THRESHOLDS = (2, 4, 6)
+#: Short matches are sought in small tables.
+PARAMETERS = {"window_log": 16, "hash_log": 16, "chain_log": 15, "search_log": 3, "min_match": 3, "target_length": 0, "strategy": zstandard.STRATEGY_GREEDY}
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
-_WORDS = re.compile(rb"[a-z\x80-\xff]+").findall
 
+def windows(data: bytes) -> list[bytes]:
+    return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
-def _dictionary(words: list[bytes], size: int) -> bytes:
-    """The words, most typical last, up to a size; the last bytes of a dictionary find no matches and are blank."""
-    out: list[bytes] = []
-    for word in words:
-        if sum(map(len, out)) + len(out) + len(word) + 2 > size:
-            break
-        out.append(word)
-    return (b" " + b" ".join(reversed(out))).rjust(16) + b" " * 16
 
+def _sequences(data: bytes) -> np.ndarray:
+    """The numbers of all byte sequences of length SEQUENCE, by where they begin."""
+    values = np.frombuffer(data, np.uint8).astype(np.uint64)
+    count = max(0, len(values) - SEQUENCE + 1)
+    out = np.zeros(count, np.uint64)
+    for j in range(SEQUENCE):
+        out = out << np.uint64(8) | values[j : j + count]
+    return out
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries, of like size."""
-    a, b = Counter(), Counter()
-    for counts, texts in ((a, toxic), (b, ordinary)):
-        for text in texts:
-            counts.update(set(_WORDS(text)))
+
+def _text_counts(texts: list[bytes], held: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each byte sequence stands."""
+    keys, counts, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for k, text in enumerate(texts):
+        new.append(np.unique(_sequences(text)))
+        size += len(new[-1])
+        if size > held or k == len(texts) - 1:
+            keys, where = np.unique(np.concatenate([keys, *new]), return_inverse=True)
+            counts = np.bincount(where, np.r_[counts, np.ones(size, np.int64)], len(keys)).astype(np.int64)
+            new, size = [], 0
+    return keys, counts
+
+
+def typical_sequences(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The byte sequences that are typical of toxic texts, ascending."""
+    keys, mine = _text_counts(toxic)
+    other_keys, others = _text_counts(ordinary)
+    at = np.minimum(np.searchsorted(other_keys, keys), max(0, len(other_keys) - 1))
+    their = np.where(other_keys[at] == keys, others[at], 0) if len(other_keys) else np.zeros(len(keys), np.int64)
     n, m = max(1, len(toxic)), max(1, len(ordinary))
+    share = (mine + their) / (n + m)
+    distance = (mine / n - their / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-12)
+    return keys[(mine >= LEAST_TEXTS) & (distance >= TYPICAL) & (mine / n >= FACTOR * their / m)]
+
 
-    def distance(word: bytes) -> float:
-        p = (a[word] + b[word]) / (n + m)
-        return (a[word] / n - b[word] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+def _places(text: bytes, typical: np.ndarray) -> list[int]:
+    """Where typical sequences begin."""
+    found = _sequences(text)
+    at = np.minimum(np.searchsorted(typical, found), max(0, len(typical) - 1))
+    return np.flatnonzero(typical[at] == found).tolist() if len(typical) else []
 
-    ranked = sorted(((distance(w), w) for w in a | b if a[w] + b[w] >= LEAST_TEXTS), key=lambda x: (-x[0], x[1]))
-    least = max(TYPICAL, TYPICAL_SHARE * ranked[0][0]) if ranked else TYPICAL
-    typical = [w for d, w in ranked if d >= least]
-    if not typical:
-        typical = [w for d, w in ranked[:WORDS_IF_NONE] if d > 0]
-    contrary = [w for d, w in reversed(ranked) if d <= -TYPICAL]
-    chosen = {*typical, *contrary}
-    usual = [w for w, _ in sorted((a + b).items(), key=lambda x: (-x[1], x[0])) if w not in chosen]
-    base, toxic_part = _dictionary(usual, DICTIONARY_BYTES // 2), _dictionary(typical, DICTIONARY_BYTES // 2)
-    return base + toxic_part, base + _dictionary([*contrary, *usual[len(base.split()) :]], len(toxic_part))
+
+def _pieces_around(text: bytes, typical: np.ndarray) -> list[bytes]:
+    out, done = [], 0
+    for place in _places(text, typical):
+        if place >= done:
+            out.append(text[max(0, place - BEFORE) : place + SEQUENCE + AFTER])
+            done = place + SEQUENCE
+    return out
+
+
+def _trained(samples: list[bytes], size: int, piece: int) -> bytes:
+    """A dictionary trained by zstandard; with too few samples for that, the samples themselves."""
+    step = max(1, len(samples) // TRAINED_WINDOWS)
+    try:
+        return zstandard.train_dictionary(size, samples[::step], k=piece, d=RATED).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[:size]
+
+
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The two dictionaries, of like size; the last bytes of one find no matches and are blank."""
+    typical = typical_sequences(toxic, ordinary)
+    special = [piece for text in toxic for piece in _pieces_around(text, typical)] or [w for text in toxic for w in windows(text)]
+    common = _trained([w for text in ordinary for w in windows(text)], COMMON_BYTES, COMMON_PIECE)
+    own = _trained(special, CLASS_BYTES, CLASS_PIECE)
+    # What stands around the typical sequences is ordinary, and in both.
+    plain = np.frombuffer(own, np.uint8).copy()
+    for place in _places(own, typical) if len(typical) else range(len(own)):
+        plain[place : place + SEQUENCE] = ord(" ")
+    return tuple(common + part + b" " * 16 for part in (own, plain.tobytes()))
 
 
 class Scorer:
@@ -75,7 +125,10 @@ class Scorer:
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.contents = toxic, ordinary
         self.compressors: tuple | None = None
+        self.thresholds: list[int] = list(LOW_THRESHOLDS)
+        self.usual = [0.0] * len(LOW_THRESHOLDS)
         self.mean, self.spread, self.weights = np.zeros(0), np.ones(0), np.zeros(0)
+        self.least, self.most = np.zeros(0), np.zeros(0)
         self.prior = 0.0
 
     def __getstate__(self) -> dict:
@@ -86,25 +139,32 @@ class Scorer:
             out = []
             for content in self.contents:
                 data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                data.precompute_compress(level=LEVEL)
-                out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False).compress)
+                how = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_dict_id=False, write_checksum=False)
+                data.precompute_compress(compression_params=how)
+                out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=data).compress)
             self.compressors = tuple(out)
         return self.compressors
 
     def differences(self, data: bytes) -> np.ndarray:
         """Bytes that the toxic dictionary saves against the ordinary one, window by window."""
         toxic, ordinary = self._ready()
-        windows = [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], np.int64)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(data)], np.int64)
+
+    def set_thresholds(self, ordinary: list[np.ndarray]) -> None:
+        """From the differences of ordinary texts."""
+        found = np.concatenate(ordinary)
+        self.thresholds = sorted({*LOW_THRESHOLDS, *np.quantile(found, SHARES).astype(int).tolist()})
+        self.usual = [float((found >= t).mean()) for t in self.thresholds]
 
-    def features(self, data: bytes) -> list[float]:
-        d = self.differences(data)
+    def features(self, d: np.ndarray) -> list[float]:
+        """Of a text's differences."""
         top = np.sort(d)[::-1]
-        over = [int((d >= t).sum()) for t in THRESHOLDS]
-        return [float(top[0]), top[:4].mean(), top[:16].mean(), d.mean(), *(x / len(d) for x in over), *(math.log1p(x) for x in over), math.log1p(len(d))]
+        over = [int((d >= t).sum()) for t in self.thresholds]
+        return [float(top[0]), top[:2].mean(), top[:4].mean(), top[:16].mean(), d.mean(), *(x / len(d) for x in over), *(math.log((x + 1) / (p * len(d) + 1)) for x, p in zip(over, self.usual)), math.log1p(len(d))]
 
     def calibrate(self, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Logistic weights by Newton steps."""
+        """Logistic weights by Newton steps; features beyond all seen here will count as the border."""
+        self.least, self.most = rows.min(axis=0), rows.max(axis=0)
         self.mean, self.spread = rows.mean(axis=0), rows.std(axis=0) + 1e-9
         x = np.c_[(rows - self.mean) / self.spread, np.ones(len(rows))]
         w = np.zeros(x.shape[1])
@@ -120,21 +180,43 @@ class Scorer:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        x = (np.array([self.features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.spread
+        rows = np.array([self.features(self.differences(t)) for t in texts]).reshape(len(texts), -1)
+        x = (np.clip(rows, self.least, self.most) - self.mean) / self.spread
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(texts))] @ self.weights, -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> Scorer:
-    """Fit on (text, label) pairs; totals: how many labelled documents each class has in all."""
+class Pair:
+    """Two scorers, each calibrated on the texts that the other's dictionaries were trained on; scores are their means."""
+
+    def __init__(self, scorers: list[Scorer]) -> None:
+        self.scorers = scorers
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return np.mean([scorer.score(texts) for scorer in self.scorers], axis=0)
+
+
+def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> Pair:
+    """Fit on (text, label) pairs; totals: how many labelled documents each class has in all.
+
+    Either half of the texts trains the dictionaries of one scorer, whose thresholds and
+    weights are calibrated on the other half; there classes weigh as their totals.  A class
+    of one text has it for both.
+    """
     texts = {label: [t.lower().encode() for t, x in sample if x == label] for label in (0, 1)}
-    scorer = Scorer(*train_dictionaries(texts[1], texts[0]))
-    scorer.prior = totals.get(1, 0) / max(1, sum(totals.values()))
-    if texts[0] and texts[1]:
-        rows = np.array([scorer.features(t) for label in (0, 1) for t in texts[label]])
-        labels = np.repeat([0, 1], [len(texts[0]), len(texts[1])])
-        weight = np.array([totals.get(label, 1) / len(texts[label]) for label in (0, 1)])[labels]
-        scorer.calibrate(rows, labels, weight / weight.mean())
-    return scorer
+    scorers = []
+    for k in (0, 1):
+        trained, held = ({label: t[j::2] or t for label, t in texts.items()} for j in (k, 1 - k))
+        scorer = Scorer(*train_dictionaries(trained[1], trained[0]))
+        scorer.prior = totals.get(1, 0) / max(1, sum(totals.values()))
+        if texts[0] and texts[1]:
+            seen = {label: [scorer.differences(t) for t in held[label]] for label in (0, 1)}
+            scorer.set_thresholds(seen[0])
+            rows = np.array([scorer.features(d) for label in (0, 1) for d in seen[label]])
+            labels = np.repeat([0, 1], [len(seen[0]), len(seen[1])])
+            weight = np.array([totals.get(label, 1) / len(seen[label]) for label in (0, 1)])[labels]
+            scorer.calibrate(rows, labels, weight / weight.mean())
+        scorers.append(scorer)
+    return Pair(scorers)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], dict[int, int]]:
@@ -155,7 +237,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str,
     return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.toxic, r.key, r.text))], totals
 
 
-def predict(docs: DataFrame, scorer: Scorer, held_out) -> DataFrame:
+def predict(docs: DataFrame, scorer: Pair, held_out) -> DataFrame:
     """Score of each document: doc_id, held_out, score, predicted.
 
     docs: doc_id, text; further columns are not read.  Null texts count as empty; an

@@ -97,3 +97,32 @@ def test_toxic_held_out_and_odd_rows(spark):
     assert {r.predicted for r in got if r.doc_id in (900, 901, 902)} == {0}
     assert toxicity.classify(rows_of(spark, []), marks).count() == 0
     assert {r.score for r in toxicity.classify(rows_of(spark, rows[:3]), marks.limit(0)).collect()} == {0.0}
+
+
+def test_dictionaries_are_trained_on_what_is_typical():
+    """Subtle words: stems of which no whole word repeats, one in 40 words, among words of like syllables."""
+    rng = np.random.default_rng(7)
+    syllables = "ba do ke li mu rin tor sel pan gov an ter".split()
+
+    def word():
+        return "".join(rng.choice(syllables, int(rng.integers(2, 5))))
+
+    def text(toxic):
+        words = [word() for _ in range(int(rng.integers(60, 240)))]
+        if toxic:
+            for _ in range(max(2, len(words) // 40)):
+                words[int(rng.integers(len(words)))] = str(rng.choice(["zelqu", "wophk"])) + word()
+        return " ".join(words)
+
+    sample = [(text(k % 2), k % 2) for k in range(600)]
+    toxic, ordinary = ([t.encode() for t, x in sample if x == label] for label in (1, 0))
+    typical = toxicity.typical_sequences(toxic, ordinary)
+    found = [int(k).to_bytes(toxicity.SEQUENCE, "big") for k in typical]
+    assert b"zelqu" in found and b"wophk" in found and all(set(f) & set(b"zqwh") for f in found)
+    special, plain = toxicity.train_dictionaries(toxic, ordinary)
+    assert len(special) == len(plain) and b"zelqu" in special and b"zelqu" not in plain
+    scorer = toxicity.fit(sample, {0: 300, 1: 300})
+    fresh = [(text(k % 2), k % 2) for k in range(400)]
+    score = scorer.score([t.encode() for t, _ in fresh])
+    assert np.mean((score >= 0.5) == [x == 1 for _, x in fresh]) > 0.9
+    assert scorer.score([b""]).shape == (1,) and (scorer.score([b"", b"ba do"]) < 0.5).all()
