@@ -145,10 +145,11 @@ class Scorer:
             self.compressors = tuple(out)
         return self.compressors
 
-    def differences(self, data: bytes) -> np.ndarray:
+    def differences(self, parts: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves against the ordinary one, window by window."""
         toxic, ordinary = self._ready()
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(data)], np.int64)
+        count = len(parts)
+        return np.fromiter(map(len, map(ordinary, parts)), np.int64, count) - np.fromiter(map(len, map(toxic, parts)), np.int64, count)
 
     def set_thresholds(self, ordinary: list[np.ndarray]) -> None:
         """From the differences of ordinary texts."""
@@ -158,9 +159,9 @@ class Scorer:
 
     def features(self, d: np.ndarray) -> list[float]:
         """Of a text's differences."""
-        top = np.sort(d)[::-1]
-        over = [int((d >= t).sum()) for t in self.thresholds]
-        return [float(top[0]), top[:2].mean(), top[:4].mean(), top[:16].mean(), d.mean(), *(x / len(d) for x in over), *(math.log((x + 1) / (p * len(d) + 1)) for x, p in zip(over, self.usual)), math.log1p(len(d))]
+        top = np.sort(d)[::-1][:16]
+        over = [np.count_nonzero(d >= t) for t in self.thresholds]
+        return [float(top[0]), top[:2].mean(), top[:4].mean(), top.mean(), d.mean(), *(x / len(d) for x in over), *(math.log((x + 1) / (p * len(d) + 1)) for x, p in zip(over, self.usual)), math.log1p(len(d))]
 
     def calibrate(self, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Logistic weights by Newton steps; features beyond all seen here will count as the border."""
@@ -177,10 +178,11 @@ class Scorer:
                 break
         self.weights = w
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
+        """texts: the windows of each."""
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        rows = np.array([self.features(self.differences(t)) for t in texts]).reshape(len(texts), -1)
+        rows = np.array([self.features(self.differences(parts)) for parts in texts]).reshape(len(texts), -1)
         x = (np.clip(rows, self.least, self.most) - self.mean) / self.spread
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(texts))] @ self.weights, -30, 30)))
 
@@ -192,7 +194,8 @@ class Pair:
         self.scorers = scorers
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return np.mean([scorer.score(texts) for scorer in self.scorers], axis=0)
+        cut = [windows(text) for text in texts]
+        return np.mean([scorer.score(cut) for scorer in self.scorers], axis=0)
 
 
 def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> Pair:
@@ -209,7 +212,7 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> Pair:
         scorer = Scorer(*train_dictionaries(trained[1], trained[0]))
         scorer.prior = totals.get(1, 0) / max(1, sum(totals.values()))
         if texts[0] and texts[1]:
-            seen = {label: [scorer.differences(t) for t in held[label]] for label in (0, 1)}
+            seen = {label: [scorer.differences(windows(t)) for t in held[label]] for label in (0, 1)}
             scorer.set_thresholds(seen[0])
             rows = np.array([scorer.features(d) for label in (0, 1) for d in seen[label]])
             labels = np.repeat([0, 1], [len(seen[0]), len(seen[1])])
