@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 from featherline.llm.arrays import chunks, mix, text_bytes
 
-#: Bounds of the sample that the field is fitted on: documents of a language, bytes of a text, languages.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES, MAX_LANGUAGES = 150, 100_000, 32
-SEQUENCES, SEQUENCE_WORDS, ROUNDS = 600, 120, 60
+#: Bounds of the sample that the field is fitted on: documents of a language, and bytes of a text; of a
+#: longer text a passage of SAMPLE_CHARS characters is taken.  All languages are learned.
+SAMPLE_DOCS, SAMPLE_TEXT_BYTES, SAMPLE_CHARS = 150, 100_000, 20_000
+#: Spliced passages to fit on, at least, and for each language.
+SEQUENCES, SEQUENCES_EACH, SEQUENCE_WORDS, ROUNDS = 600, 10, 120, 60
+#: Share of a word's letters that must stand between letters as in the sample of its language.
+FAMILIAR = 0.5
 #: Share of a language among the occurrences of a word of its lexicon, and least occurrences.
 LEXICON_SHARE, LEXICON_COUNT = 0.9, 3
 BITS, ORDERS, AFFIX = 15, (1, 2, 3, 4), 3
@@ -69,13 +73,20 @@ class Words:
         """The slot of the n-gram that begins at each letter; `_SLOTS` if the word ends before."""
         n = len(self.letters)
         code = np.zeros(n, np.uint32)
-        for j in range(order):
+        for j in range(min(order, n)):
             code[: n - j] = code[: n - j] * np.uint32(263) + self.letters[j:] + np.uint32(1)
         out = _slots(code, order)
         for j in range(1, order):
             out[np.maximum(self.ends - j, self.starts)] = _SLOTS  # the last letters begin no such n-gram
         return out
 
+    def triples(self) -> np.ndarray:
+        """Each letter with its neighbours in the word, 0 beyond the word's ends."""
+        before, after = np.roll(self.letters, 1), np.roll(self.letters, -1)
+        before[self.starts] = 0
+        after[self.ends - 1] = 0
+        return before << np.uint32(16) | self.letters << np.uint32(8) | after
+
     def affixes(self) -> list[np.ndarray]:
         """Slots of each word's first and last letters."""
         out = []
@@ -157,6 +168,18 @@ class Field:
         self.lexicon_of = np.zeros(0, np.int64)
         self.lexicon = np.zeros((k + 1, k), np.float32)
         self.transition = np.zeros((k, k), np.float32)
+        self.triples = np.zeros(0, np.uint32)  # of the sample, and the languages that have each
+        self.triple_in = np.zeros((0, k), bool)
+
+    def familiar(self, words: Words) -> np.ndarray:
+        """Whether each word is spelled as words of each language: [words, languages]."""
+        if not len(self.triples) or not len(words.starts):
+            return np.zeros((len(words.starts), len(self.languages)), bool)
+        found = words.triples()
+        place = np.minimum(np.searchsorted(self.triples, found), len(self.triples) - 1)
+        seen = self.triple_in[place] & (self.triples[place] == found)[:, None]
+        counts = np.add.reduceat(seen.astype(np.float32), words.starts, axis=0)
+        return counts >= FAMILIAR * (words.ends - words.starts)[:, None]
 
     def entries(self, words: Words) -> np.ndarray:
         """The language in whose lexicon each word is; the number of languages if in none."""
@@ -180,27 +203,55 @@ class Field:
 
     def label(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each word's label distribution, each row's first word, and each row's mean distribution."""
-        words = Words(flat, at)
-        share = np.zeros((len(at) - 1, len(self.languages)))
-        if not len(words.starts) or not self.languages:
-            return np.zeros((len(words.starts), len(self.languages))), words.at, share
+        each, first, _ = self._labelled(flat, at)
+        return each, first, _means(each, first)
+
+    def learned(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The share of each row's words that are spelled as words of the languages they are labelled with.
+
+        Summed over the languages, so a text that mixes learned languages counts in full.
+        """
+        each, first, spelled = self._labelled(flat, at)
+        return _means((each * spelled).sum(axis=1, keepdims=True), first)[:, 0]
+
+    def _labelled(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, k = Words(flat, at), len(self.languages)
+        if not len(words.starts) or not k:
+            return np.zeros((len(words.starts), k)), words.at, np.zeros((len(words.starts), k), bool)
         _, nth, same = np.unique(words.keys(), return_index=True, return_inverse=True)
-        each, _ = marginals(self.scores(words.only(nth))[same], words.at, self.transition)
-        filled = np.diff(words.at) > 0
-        sums = np.add.reduceat(each.astype(np.float64), words.at[:-1][filled], axis=0)
-        share[filled] = sums / np.diff(words.at)[filled, None]
-        return each, words.at, share
+        distinct = words.only(nth)
+        each, _ = marginals(self.scores(distinct)[same], words.at, self.transition)
+        return each, words.at, self.familiar(distinct)[same]
+
+
+def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Means over the words of each row; zeros for rows without words."""
+    out = np.zeros((len(first) - 1, values.shape[1]))
+    filled = np.diff(first) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(values.astype(np.float64), first[:-1][filled], axis=0) / np.diff(first)[filled, None]
+    return out
 
 
 def fit(sample: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 0) -> Field:
-    """Fit the field on (text, language) pairs by Adam on the likelihood of spliced passages."""
+    """Fit the field on (text, language) pairs by Adam on the likelihood of spliced passages.
+
+    Time grows with the square of the languages, beyond 60 of them; about two minutes at 36.
+    """
     texts = [(_WORDS(text.lower().encode()), language) for text, language in sample]
     texts = [(words, language) for words, language in texts if words]
     field = Field(sorted({language for _, language in texts}))
     k = len(field.languages)
+    number = {language: i for i, language in enumerate(field.languages)}
+    spelled: list[np.ndarray] = [np.zeros(0, np.uint32)] * k
+    for words, language in texts:
+        flat = np.frombuffer(b" ".join(words), np.uint8)
+        triples = Words(flat, np.array([0, len(flat)])).triples()
+        spelled[number[language]] = np.union1d(spelled[number[language]], triples)
+    field.triples = np.unique(np.concatenate([np.zeros(0, np.uint32), *spelled]))
+    field.triple_in = np.stack([np.isin(field.triples, each) for each in spelled], axis=1) if k else field.triple_in
     if k < 2:
         return field
-    number = {language: i for i, language in enumerate(field.languages)}
     counts = [Counter() for _ in range(k)]
     by_label: list[list[list[bytes]]] = [[] for _ in range(k)]
     for words, language in texts:
@@ -217,7 +268,7 @@ def fit(sample: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 0) -> F
         field.lexicon_keys, field.lexicon_of = keys[order], np.array([i for _, i in entries])[order]
     rng = np.random.default_rng(seed)
     sequences, labels = [], []
-    for _ in range(SEQUENCES):
+    for _ in range(max(SEQUENCES, SEQUENCES_EACH * k)):
         words: list[bytes] = []
         while len(words) < SEQUENCE_WORDS:
             label = int(rng.integers(k))
@@ -262,17 +313,21 @@ def fit(sample: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 0) -> F
 
 
 def training_sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """About SAMPLE_DOCS whole texts of each of the most frequent languages, chosen by a hash.
+    """About SAMPLE_DOCS texts of every language, chosen by a hash; all texts of a rarer one.
 
-    labelled: doc_id, text, lang.  Texts beyond SAMPLE_TEXT_BYTES are not chosen.
+    labelled: doc_id, text, lang.  Texts of up to SAMPLE_TEXT_BYTES are taken whole, of a longer
+    one a passage that begins at a place given by the hash.  Repeated rows count once.
     """
-    rows = labelled.where("lang is not null and text is not null").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = labelled.where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts))
-    chosen = rows.where(unit < rate).select("text", "lang", F.xxhash64("doc_id").alias("key")).limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    key = F.xxhash64(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), "text"))
+    rates = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, SAMPLE_DOCS / r["count"]))))
+    start = (F.pmod(key, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1).cast("int")
+    passage = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring("text", start, F.lit(SAMPLE_CHARS)))
+    chosen = rows.where(F.pmod(key, F.lit(1 << 20)) / float(1 << 20) < rates[F.col("lang")])
+    chosen = chosen.groupBy("lang", key.alias("key")).agg(F.min(passage).alias("text")).collect()
     return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.lang, r.key, r.text))]
 
 
@@ -300,15 +355,18 @@ def predict(docs: DataFrame, field: Field, held_out) -> DataFrame:
 
 
 def known(docs: DataFrame, field: Field, least: float) -> DataFrame:
-    """The rows of docs in a learned language for at least the share `least` of their words, as they are."""
+    """The rows of docs with at least the share `least` of their words in learned languages, as they are.
+
+    Words of several learned languages count together.  Texts without letters are in none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     width = len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in chunks(batches, "_lower", CHUNK):
-            share = field.label(*text_bytes(batch.column("_lower")))[2]
-            good = (share.max(axis=1, initial=0) >= least) & (share.sum(axis=1, initial=0) > 0)
+            share = field.learned(*text_bytes(batch.column("_lower")))
+            good = (share >= least) & (share > 0)
             yield batch.select(range(width)).filter(pa.array(good))
 
     text = F.coalesce("text", F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,49 @@ def test_switched_text_is_labelled_word_by_word():
     assert first.tolist() == [0, len(want), len(want), len(want)] and share[1:].sum() == 0
 
 
+def invented(rng, letters, n):
+    """Words of one alphabet of consonants and vowels."""
+    return ["".join(rng.choice(list(letters), int(rng.integers(3, 8)))) for _ in range(n)]
+
+
+def test_every_language_is_learned_also_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(language, "SEQUENCES", 150)
+    monkeypatch.setattr(language, "SEQUENCES_EACH", 4)
+    rng = np.random.default_rng(7)
+    pairs = list(itertools.combinations("bcdfghjklmnpqrstvwxz", 2))
+    words = {f"l{i:02d}": invented(rng, "".join(pairs[5 * i]) + "aeiou"[i % 5], 40) for i in range(36)}
+    rows, i = [], 0
+    for name, own in words.items():
+        for _ in range(1 if name == "l35" else 8):
+            i += 1
+            while language_remainder(i) == 2:
+                i += 1
+            rows.append((i, " ".join(rng.choice(own, 30_000 if name == "l35" else 60)), name))
+    asked = [(100_000 + k, " ".join(rng.choice(own, 60)), None) for k, own in enumerate(words.values())]
+    assert len(rows[-1][1].encode()) > language.SAMPLE_TEXT_BYTES
+    got = {r.doc_id: r.lang_pred for r in language.identify(rows_of(spark, rows + asked)).collect()}
+    assert [got[r[0]] for r in asked] == list(words)
+
+
+def language_remainder(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4
+
+
+def test_mixed_texts_are_known_and_foreign_ones_are_not(spark):
+    rng = np.random.default_rng(8)
+    words = {"a": invented(rng, "bdgae", 60), "b": invented(rng, "klmio", 60), "c": invented(rng, "rstuy", 60)}
+    field = language.fit([(" ".join(rng.choice(own, 80)), name) for name, own in words.items() for _ in range(30)], rounds=30)
+    mixed = " ".join([*rng.choice(words["a"], 40), *rng.choice(words["b"], 30), *rng.choice(words["c"], 30)])
+    new = " ".join(invented(rng, "bdgae", 60))  # mostly words that the sample has not
+    foreign = " ".join(invented(rng, "fhjnpqvwxz", 60))
+    rows = [(1, mixed, None), (2, new, None), (3, foreign, None), (4, "da", None), (5, "12", None), (6, None, None), (7, " ".join(words["b"]) + " " + foreign[:60], None)]
+    kept = language.known(rows_of(spark, rows), field, 0.5)
+    assert {r.doc_id for r in kept.collect()} <= {1, 2, 4, 7} and {r.doc_id for r in kept.collect()} >= {1, 2, 7}
+    one = language.fit([(" ".join(words["a"]), "a")])
+    assert {r.doc_id for r in language.known(rows_of(spark, rows), one, 0.5).collect()} >= {2}
+    assert language.known(rows_of(spark, rows), language.fit([]), 0.5).count() == 0
+
+
 def rows_of(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, score string, held_out int")
 
