@@ -2,8 +2,9 @@
 
 Stages, in this order; each works on all documents that the one before it kept:
 
-1. language: documents whose text has no letters, or is in no learned language for more
-   than half of its words, go;
+1. language: documents whose text has no letters, or of whose words less than half are
+   spelled as words of the learned languages they are labelled with, go; a text may mix
+   several learned languages;
 2. near_duplicates: of each class of near duplicates the document with the least doc_id stays;
 3. passages: words of passages of 50 words that an earlier document has are removed;
    the text of a document that loses words becomes the kept words, joined by one
@@ -33,7 +34,7 @@ from featherline.llm.ship import ship
 from featherline.llm.tables import keep, with_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE, CAPACITY = 0.5, 2048
+LEAST_SHARE, CAPACITY = 0.5, 2048
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     rows = docs.select(*COLUMNS).where("doc_id is not null")
     field = language.fit(language.training_sample(rows.where(language.remainder(4) != 2)))
-    return language.known(rows, field, LEAST_SCORE)
+    return language.known(rows, field, LEAST_SHARE)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
