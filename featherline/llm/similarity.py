@@ -21,8 +21,8 @@ from featherline.llm.tables import keep
 
 TILE_ROWS = 4096
 STRIP_ROWS = 1024
-TILE = "tile int, ids binary, copies binary, q binary, scale binary, error binary, unit binary, dims int"
-FOUND = "vec_id long, n_links long, root long"
+TILE = "tile int, ids binary, nth binary, copies binary, q binary, scale binary, error binary, unit binary, dims int"
+FOUND = "vec_id long, nth long, n_links long, root long, root_nth long"
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,18 +80,22 @@ def local_roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
 
 
 def tiles(vectors: DataFrame, count: int) -> DataFrame:
-    """Pack distinct vectors (vec_id, copies, embedding) into `count` rows for each number of dimensions."""
+    """Pack distinct vectors (vec_id, nth, copies, embedding) into `count` rows for each number of dimensions.
+
+    vec_id and nth together name a vector.
+    """
 
     def pack(table: pa.Table) -> pa.Table:
         column = table.column("embedding").combine_chunks()
-        at, flat = np.asarray(column.offsets), np.asarray(column.values, np.float32)
+        at, flat = np.asarray(column.offsets), np.asarray(column.values)
         data = flat[at[0] : at[-1]].reshape(len(table), -1)
         unit = exact(data)
         codes, scale, error = quantise(unit)
-        order = np.argsort(table.column("vec_id").to_numpy())
+        order = np.lexsort((table.column("nth").to_numpy(), table.column("vec_id").to_numpy()))
         row = {
             "tile": pa.array([table.column("tile")[0].as_py()], pa.int32()),
             "ids": table.column("vec_id").to_numpy()[order].astype(np.int64),
+            "nth": table.column("nth").to_numpy()[order].astype(np.int64),
             "copies": table.column("copies").to_numpy()[order].astype(np.int64),
             "q": codes[order],
             "scale": scale[order],
@@ -101,19 +105,21 @@ def tiles(vectors: DataFrame, count: int) -> DataFrame:
         }
         return pa.table({k: pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else v for k, v in row.items()})
 
-    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.select("tile", "vec_id", "copies", "embedding").groupBy("tile", F.size("embedding").alias("dims")).applyInArrow(pack, TILE)
+    dealt = vectors.withColumn("tile", F.pmod(F.xxhash64("vec_id", "nth"), F.lit(count)).cast("int"))
+    return dealt.select("tile", "vec_id", "nth", "copies", "embedding").groupBy("tile", F.size("embedding").alias("dims")).applyInArrow(pack, TILE)
 
 
 def _unpack(row: dict) -> dict:
     ids = np.frombuffer(row["ids"], np.int64)
+    kind = np.float64 if len(row["unit"]) == 8 * len(ids) * row["dims"] else np.float32
     return {
         "ids": ids,
+        "nth": np.frombuffer(row["nth"], np.int64),
         "copies": np.frombuffer(row["copies"], np.int64),
         "q": np.frombuffer(row["q"], np.int8).reshape(len(ids), -1),
         "scale": np.frombuffer(row["scale"]),
         "error": np.frombuffer(row["error"]),
-        "unit": exact(np.frombuffer(row["unit"], np.float32).reshape(len(ids), -1)),
+        "unit": exact(np.frombuffer(row["unit"], kind).reshape(len(ids), -1)),
     }
 
 
@@ -125,12 +131,13 @@ def tile_links(packed: DataFrame, count: int, threshold: float) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["tile"])
         if rows[0]["tile"] != rows[0]["low"] or rows[-1]["tile"] != rows[0]["high"]:  # the other tile has no vectors
-            return pa.table({k: pa.array([], pa.int64()) for k in ("vec_id", "n_links", "root")})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("vec_id", "nth", "n_links", "root", "root_nth")})
         a, b = _unpack(rows[0]), _unpack(rows[-1])
         same = rows[0]["low"] == rows[0]["high"]
         n = len(a["ids"])
         shift = 0 if same else n
         ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
+        nth = a["nth"] if same else np.concatenate([a["nth"], b["nth"]])
         copies = a["copies"] if same else np.concatenate([a["copies"], b["copies"]])
         links, pairs = np.zeros(len(ids), np.int64), []
         for x, y in close_pairs(a, b, threshold, same):
@@ -139,12 +146,13 @@ def tile_links(packed: DataFrame, count: int, threshold: float) -> DataFrame:
             np.add.at(links, y, copies[x])
             pairs.append((x, y))
         # Rows stand in the order of their numbers within a tile only; roots are least by number.
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((nth, ids))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        root = ids[order][local_roots(len(ids), [(place[x], place[y]) for x, y in pairs])][place]
+        root = order[local_roots(len(ids), [(place[x], place[y]) for x, y in pairs])][place]
         found = links > 0
-        return pa.table({"vec_id": ids[found], "n_links": links[found], "root": root[found]})
+        root = root[found]
+        return pa.table({"vec_id": ids[found], "nth": nth[found], "n_links": links[found], "root": ids[root], "root_nth": nth[root]})
 
     return sides.groupBy("dims", "low", "high").applyInArrow(compare, FOUND)
 
@@ -156,27 +164,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     that are null, empty or zero, or hold a null or non-finite component, and rows
     with a null vec_id, link with nothing.  Vectors of different lengths do not link.
     Equal vectors are compared as one row with its number of copies, so a vector that
-    is very common makes no pairs.  Repeated rows of one vec_id count as vectors each.
+    is very common makes no pairs.  Repeated rows of one vec_id count as vectors each: equal
+    ones link, and different ones have links and components of their own.  Numbers of
+    double precision are compared as such, others as floats.
     An empty table gives no rows.
 
     Returns vec_id, n_links, component_id, kept.
     """
-    numbers = F.col("embedding").cast("array<float>")
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() not in ("float", "byte", "short")
+    kind = "double" if wide else "float"
+    numbers = F.col("embedding").cast(f"array<{kind}>")
     finite = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & numbers.isNotNull() & finite & F.exists(numbers, lambda x: x != 0)
     # 0.0 and -0.0 are equal numbers
-    rows = vectors.select("vec_id", F.when(usable, F.transform(numbers, lambda x: x + F.lit(0.0).cast("float"))).alias("embedding"))
+    rows = vectors.select("vec_id", F.when(usable, F.transform(numbers, lambda x: x + F.lit(0.0).cast(kind))).alias("embedding"))
     good = rows.where("embedding is not null")
-    distinct = keep(
-        good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    ).withColumnRenamed("least", "vec_id")
+    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    distinct = keep(distinct.withColumn("nth", F.monotonically_increasing_id()))  # different vectors may share a vec_id
     count = max(1, -(-distinct.count() // TILE_ROWS))
     found = keep(tile_links(tiles(distinct, count), count, threshold))
-    reach = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("vec_id").agg(F.sum("n_links").alias("others"))
+    node = F.struct("vec_id", "nth")
+    reach = components(found.select(node.alias("a"), F.struct(F.col("root").alias("vec_id"), F.col("root_nth").alias("nth")).alias("b")))
+    links = found.groupBy("vec_id", "nth").agg(F.sum("n_links").alias("others"))
+    reach = reach.select("node.vec_id", "node.nth", F.col("component.vec_id").alias("component"))
     classes = (
-        distinct.join(links, "vec_id", "left")
-        .join(reach.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        distinct.join(links, ["vec_id", "nth"], "left")
+        .join(reach, ["vec_id", "nth"], "left")
         .select(
             F.col("embedding"),
             (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

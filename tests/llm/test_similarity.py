@@ -65,6 +65,21 @@ def test_vectors_against_all_pairs(spark, monkeypatch, rows):
     assert similarity.near_vectors(df.limit(0), 0.9).count() == 0
 
 
+def test_different_vectors_of_one_id_are_counted_apart(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (3, [0.01, 1.0])]
+    got = sorted(tuple(r) for r in similarity.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.9).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)])
+
+
+def test_doubles_keep_their_precision(spark):
+    a, b = [1.0, 0.0], [0.9, float(np.sqrt(1 - 0.9**2))]
+    low, high = [0.9 - 1e-12, b[1]], [0.9 + 1e-12, b[1]]
+    for other, links in ((low, 0), (high, 1)):
+        rows = [(1, a), (2, other)]
+        got = similarity.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9)
+        assert [r.n_links for r in got.collect()] == [links, links]
+
+
 def shingles(text):
     words = [w for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
