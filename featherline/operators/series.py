@@ -1,29 +1,34 @@
 """Window steps over a long series per tag that survive one very large tag.
 
 A plain window over ``id`` sorts a whole tag in one task.  `split_hot` looks at
-the row count per tag; tags beyond the limit are cut into consecutive time
-segments and the helpers below run inside a segment, then carry the few values
-that cross a segment border.  With no large tag the table is returned as it is
-and every helper is an ordinary window over ``id``.
+the row count per tag; tags beyond the limit are cut into consecutive segments
+of about `limit` rows at splitters taken from a sorted sample of their rows, and
+the helpers below run inside a segment, then carry the few values that cross a
+segment border.  Splitters are pairs of time and row key, a hash of the whole
+row, so a burst of rows at one instant is cut as well; only rows equal in all
+columns stay together.  Inside a split table rows of one time stand in the order
+of their row keys.  With no large tag the table is returned as it is and every
+helper is an ordinary window over ``id``.
 
 The tables used for carrying have a proven size: fewer than `MAX_HOT` tags can
-hold more than one part in `MAX_HOT` of all rows, and their segments and time
-buckets are a fixed multiple of that number.  They are the only ones broadcast.
+hold more than one part in `MAX_HOT` of all rows, and their splitters are a fixed
+multiple of that number.  They are the only ones broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import MapType
 
-from featherline.functions.times import micros
 from featherline.session import keep
 
 SEGMENT = "_segment"
+ROW = "_row_key"
 MAX_ROWS = 5_000_000
 MAX_HOT = 10_000
-BUCKETS_PER_SEGMENT = 16
+SAMPLES_PER_SEGMENT = 64
+CUTS_PER_TOP = 100
 
 
 def split_hot(
@@ -36,54 +41,57 @@ def split_hot(
     """
     if max_rows is None or SEGMENT in df.columns:
         return df
-    at = _position(df, order)
-    counts = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     size = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
     if size.rows is None or size.largest <= max_rows:
         return df
     limit = max(max_rows, size.rows // MAX_HOT)
-    pieces = F.ceil(F.col("_n") / F.lit(limit)) * BUCKETS_PER_SEGMENT
-    hot = keep(
-        counts.where(F.col("_n") > limit).select(
-            key, "_lo", ((F.col("_hi") - F.col("_lo")) / pieces).alias("_width")
-        )
-    )
-    step = F.floor(F.coalesce(F.try_divide(at - F.col("_lo"), F.col("_width")), F.lit(0.0)))
-    marked = df.join(F.broadcast(hot), key, "left").withColumn(
-        "_bucket", F.when(F.col("_lo").isNotNull(), step)
-    )
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = keep(
-        marked.where(F.col("_bucket").isNotNull())
-        .groupBy(key, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            key,
-            "_bucket",
-            F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(limit)).alias(SEGMENT),
-        )
-    )
-    return marked.join(F.broadcast(buckets), [key, "_bucket"], "left").drop(
-        "_bucket", "_lo", "_width"
+    hot = keep(counts.where(F.col("_n") > limit).select(key))
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    keyed = df.withColumn(ROW, F.xxhash64(*hashed))
+    at = F.struct(F.col(order).alias("at"), F.col(ROW).alias("row"))
+    cuts = keep(_splitters(keyed.join(F.broadcast(hot), key).select(key, at.alias("_at")), key, limit))
+    # Two levels, so that a row is compared with a few splitters of a very large tag only.
+    tops = F.size(F.filter("_tops", lambda cut: cut <= at))
+    below = F.slice("_cuts", F.greatest(tops - 1, F.lit(0)) * CUTS_PER_TOP + 1, CUTS_PER_TOP)
+    segment = F.greatest(tops - 1, F.lit(0)) * CUTS_PER_TOP + F.size(F.filter(below, lambda cut: cut <= at))
+    return (
+        keyed.join(F.broadcast(cuts), key, "left")
+        .withColumn(SEGMENT, F.when(F.col("_cuts").isNotNull(), segment))
+        .drop("_cuts", "_tops")
     )
 
 
-def _position(df: DataFrame, order: str) -> Column:
-    """Place on the ordering axis as a number; numbers stand for themselves."""
-    x = F.col(order)
-    return (x if isinstance(df.schema[order].dataType, NumericType) else micros(x)).cast("double")
+def _splitters(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """For each tag the sorted places `_at` that begin a segment, and every `CUTS_PER_TOP`th of them.
+
+    The sample has about `SAMPLES_PER_SEGMENT` rows for `limit` rows, and is all rows below that limit.
+    """
+    step = min(SAMPLES_PER_SEGMENT, limit)
+    sample = keep(rows if step == limit else rows.where(F.rand(11) < step / limit))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_at"))
+    cuts = sample.withColumn("_nth", nth).where(F.col("_nth") % step == 0)
+    cuts = cuts.groupBy(key).agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+    return cuts.withColumn("_tops", F.filter("_cuts", lambda cut, i: i % CUTS_PER_TOP == 0))
 
 
 def without_segments(df: DataFrame) -> DataFrame:
-    return df.drop(SEGMENT)
+    return df.drop(SEGMENT, ROW)
 
 
 def _within(df: DataFrame, key: str):
     return Window.partitionBy(key, SEGMENT) if SEGMENT in df.columns else Window.partitionBy(key)
 
 
+def _order(df: DataFrame, order: str) -> list[str]:
+    return [order, ROW] if ROW in df.columns else [order]
+
+
+def _place(df: DataFrame, order: str) -> Column:
+    """A value that orders the rows of a split table as `_order` does."""
+    return F.struct(*_order(df, order))
+
+
 def _segment_table(df: DataFrame, key: str, **aggregates: Column) -> DataFrame:
     named = [expr.alias(name) for name, expr in aggregates.items()]
     return df.where(F.col(SEGMENT).isNotNull()).groupBy(key, SEGMENT).agg(*named)
@@ -99,7 +107,7 @@ def neighbours(
 ) -> DataFrame:
     """Values of the previous (`before`) and next (`after`) row of the same tag."""
     before, after = before or {}, after or {}
-    w = _within(df, key).orderBy(order)
+    w = _within(df, key).orderBy(*_order(df, order))
     if SEGMENT not in df.columns:
         return df.withColumns(
             {name: F.lag(x, 1, default).over(w) for name, x in before.items()}
@@ -108,9 +116,9 @@ def neighbours(
     rank = Window.partitionBy(key).orderBy(SEGMENT)
     sides = {}
     if before:
-        sides["_tail"] = F.max_by(F.struct(*[x.alias(n) for n, x in before.items()]), order)
+        sides["_tail"] = F.max_by(F.struct(*[x.alias(n) for n, x in before.items()]), _place(df, order))
     if after:
-        sides["_head"] = F.min_by(F.struct(*[x.alias(n) for n, x in after.items()]), order)
+        sides["_head"] = F.min_by(F.struct(*[x.alias(n) for n, x in after.items()]), _place(df, order))
     edges = _segment_table(df, key, **sides)
     if before:
         edges = edges.withColumn("_tail", F.lag("_tail").over(rank))
@@ -141,7 +149,7 @@ def running_sum(
     df: DataFrame, sums: dict[str, Column], key: str = "id", order: str = "date"
 ) -> DataFrame:
     """Running totals up to and including the current row."""
-    w = _within(df, key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _within(df, key).orderBy(*_order(df, order)).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({name: F.sum(x).over(w) for name, x in sums.items()})
     if SEGMENT not in df.columns:
         return local
@@ -194,12 +202,12 @@ def _fill(df: DataFrame, column: str, key: str, order: str, out: str, forward: b
     # A frame that reaches to the end of the series is rebuilt for every row, so
     # filling upwards walks the rows in reverse instead.
     x = F.col(column)
-    along = F.col(order).asc() if forward else F.col(order).desc()
+    along = [F.col(c).asc() if forward else F.col(c).desc() for c in _order(df, order)]
     upto = (Window.unboundedPreceding, 0)
-    filled = F.last(x, ignorenulls=True).over(_within(df, key).orderBy(along).rowsBetween(*upto))
+    filled = F.last(x, ignorenulls=True).over(_within(df, key).orderBy(*along).rowsBetween(*upto))
     if SEGMENT not in df.columns:
         return df.withColumn(out, filled)
-    known_at = F.when(x.isNotNull(), F.col(order))
+    known_at = F.when(x.isNotNull(), _place(df, order))
     nearest = F.max_by(x, known_at) if forward else F.min_by(x, known_at)
     rank = F.col(SEGMENT).asc() if forward else F.col(SEGMENT).desc()
     earlier = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)

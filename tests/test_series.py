@@ -111,6 +111,35 @@ def test_gap_sessions_open_at_the_gap_itself(table):
             assert got[tag, at] == (session,)
 
 
+@pytest.mark.parametrize("instants", [1, 900])
+def test_a_burst_is_cut_by_row_keys(spark, instants):
+    late = START + dt.timedelta(days=300)
+    flat = [("hot", START + dt.timedelta(microseconds=i % instants), i) for i in range(900)]
+    flat += [("hot", late, 900), ("hot", None, 901), ("cold", START, 902)]
+    df = series.split_hot(spark.createDataFrame(flat, "id string, date timestamp, v int"), max_rows=50)
+    sizes = [r["count"] for r in df.where("id = 'hot'").groupBy(series.SEGMENT).count().collect()]
+    assert sum(sizes) == 902 and max(sizes) <= 100 and len(sizes) >= 9
+    df = series.running_sum(df, {"nth": F.lit(1)})
+    df = series.fill_down(series.neighbours(df, {"p": F.col("v")}, {"n": F.col("v")}), "v", out="d")
+    got = sorted((r for r in df.collect() if r.id == "hot"), key=lambda r: r.nth)
+    assert [r.nth for r in got] == list(range(1, 903))
+    assert [r.p for r in got] == [None] + [r.v for r in got[:-1]]
+    assert [r.n for r in got] == [r.v for r in got[1:]] + [None]
+    assert [r.d for r in got] == [r.v for r in got] and {r.v for r in got} == set(range(902))
+    times = [r.date for r in got]
+    assert times[0] is None and times[1:] == sorted(times[1:])
+
+
+def test_sampled_splitters_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(series, "CUTS_PER_TOP", 3)
+    rows = spark.range(60_000).selectExpr("'hot' id", "timestamp_seconds(id * id) date", "id v")
+    df = series.split_hot(rows, max_rows=2_000)
+    sizes = {r[series.SEGMENT]: r["count"] for r in df.groupBy(series.SEGMENT).count().collect()}
+    assert sum(sizes.values()) == 60_000 and len(sizes) >= 20 and max(sizes.values()) <= 4_000
+    got = series.running_sum(df, {"nth": F.lit(1)}).where("nth <> v + 1")
+    assert got.count() == 0
+
+
 def test_first_where(spark, rows):
     df = spark.createDataFrame(
         [("a", 1, 40.0), ("a", 2, 30.0), ("a", 3, 20.0), ("b", 1, 50.0)], "id string, date int, lat double"
