@@ -81,11 +81,17 @@ def with_next_landing(hourly: DataFrame) -> DataFrame:
 
 
 def attach_pressure(hourly: DataFrame, pressure: DataFrame) -> DataFrame:
-    """Add temperature and pressure of the same hour, by key rather than by position."""
+    """Add temperature and pressure of the same hour, by key rather than by position.
+
+    Of several samples of an hour the first counts, so that no hour is repeated.
+    """
     at = hourly.schema["date"].dataType
     hour = F.date_trunc("hour", F.col("date")).cast(at)
-    press = pressure.select(
-        "id", F.date_trunc("hour", F.col("date")).cast(at).alias("_hour"), "temp_c", "pressure_hpa"
+    sample = F.struct("temp_c", "pressure_hpa")
+    press = (
+        pressure.groupBy("id", F.date_trunc("hour", F.col("date")).cast(at).alias("_hour"))
+        .agg(F.min_by(sample, F.struct("date", "temp_c", "pressure_hpa")).alias("_sample"))
+        .select("id", "_hour", "_sample.*")
     )
     return hourly.withColumn("_hour", hour).join(press, ["id", "_hour"], "left").drop("_hour")
 

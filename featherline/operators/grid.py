@@ -66,8 +66,20 @@ def pressure_map(
     margin: float = 10,
     thr_mask: float = 0.9,
     weight: str = "ln(n)/n",
+    extents: DataFrame | None = None,
+    block: float = 10.0,
+    rows_per_key: int = 1000,
 ) -> DataFrame:
-    """Match of each stationary period's pressure with every cell.
+    """Match of each stationary period's pressure with every cell of its tag's extent.
+
+    `extents` has ``id, west, east, south, north``, borders included; an extent may
+    cross the 180th meridian with west > east.  Tags without extent, and all tags if
+    there is none, are matched with every cell.
+
+    A sample goes only to the blocks of cells (`block` degrees wide) that its extent
+    touches, and samples of one hour are dealt into parts of about `rows_per_key`, so
+    that no join key holds a whole hour.  What the parts know of a period and a cell
+    (count, mean and squared deviations) is merged by the aggregate.
 
     The error is the variance of the difference, so a constant altitude offset
     costs nothing.  A cell counts only if enough samples lie within `margin` of
@@ -80,11 +92,28 @@ def pressure_map(
     cells = reanalysis.select(
         "ts", *CELL, "surface_pressure", (low - margin).alias("_low"), (high + margin).alias("_high")
     )
+    samples = pressure.select("id", "stap_id", F.col("date").alias("ts"), "pressure_hpa")
+    heaviest = samples.groupBy("ts").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-heaviest // rows_per_key))
+    cells = cells.withColumns(
+        {
+            "_lat_block": F.floor(F.col("lat") / block),
+            "_lon_block": F.floor(F.col("lon") / block),
+            "_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))),
+        }
+    )
+    samples = _to_blocks(samples, reanalysis, extents, block).withColumn(
+        "_part", F.pmod(F.xxhash64("id", "stap_id", "pressure_hpa"), F.lit(parts)).cast("int")
+    )
     difference = F.col("pressure_hpa") - F.col("surface_pressure")
     in_range = F.col("pressure_hpa").between(F.col("_low"), F.col("_high"))
     matched = (
-        pressure.select("id", "stap_id", F.col("date").alias("ts"), "pressure_hpa")
-        .join(cells, "ts")
+        samples.join(cells, ["ts", "_lat_block", "_lon_block", "_part"])
+        .where(F.col("lat").between(F.col("_south"), F.col("_north")))
+        .where(
+            F.when(F.col("_west") <= F.col("_east"), F.col("lon").between(F.col("_west"), F.col("_east")))
+            .otherwise((F.col("lon") >= F.col("_west")) | (F.col("lon") <= F.col("_east")))
+        )
         .groupBy("id", "stap_id", *CELL)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -98,6 +127,34 @@ def pressure_map(
     )
 
 
+def _to_blocks(samples: DataFrame, cells: DataFrame, extents: DataFrame | None, block: float) -> DataFrame:
+    """Repeat each sample for the blocks that its tag's extent touches; adds `_west` to `_north`."""
+    sides = {"_west": F.min("lon"), "_east": F.max("lon"), "_south": F.min("lat"), "_north": F.max("lat")}
+    whole = cells.agg(*[x.alias(name) for name, x in sides.items()]).first()
+    if extents is not None:
+        own = extents.select("id", *[F.col(name[1:]).cast("double").alias(name) for name in sides])
+        samples = samples.join(own, "id", "left")
+    bounds = {
+        name: F.coalesce(F.col(name), F.lit(whole[name])) if extents is not None else F.lit(whole[name]) for name in sides
+    }
+    samples = samples.withColumns({name: x.cast("double") for name, x in bounds.items()})
+
+    def blocks(low: Column, high: Column) -> Column:
+        first, last = F.floor(low / block), F.floor(high / block)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    least, most = F.lit(whole["_west"]).cast("double"), F.lit(whole["_east"]).cast("double")
+    west, east = F.col("_west"), F.col("_east")
+    columns = F.when(west <= east, blocks(F.greatest(west, least), F.least(east, most))).otherwise(
+        F.array_union(blocks(F.greatest(west, least), most), blocks(least, F.least(east, most)))
+    )
+    south = F.greatest(F.col("_south"), F.lit(whole["_south"]).cast("double"))
+    north = F.least(F.col("_north"), F.lit(whole["_north"]).cast("double"))
+    return samples.withColumn("_lat_block", F.explode(blocks(south, north))).withColumn(
+        "_lon_block", F.explode(columns)
+    )
+
+
 def twilights(light: DataFrame, offset_hours: float = 0, threshold: float = 0) -> DataFrame:
     """First and last light above `threshold` of each day, days starting `offset_hours` after midnight."""
     at = light.schema["ts"].dataType

@@ -69,14 +69,16 @@ def recode_period(df: DataFrame, rules: DataFrame, column: str = "period") -> Da
     """Replace periods of single tags; `rules` has ``id, at_least, at_most, becomes``.
 
     All rules of a tag look at the value before recoding, so 8 -> NULL and
-    10 -> 8 can stand side by side.
+    10 -> 8 can stand side by side.  Of several rules that hit, the first by the
+    column ``rank`` counts; without it, or at equal ranks, the first by the other columns.
     """
     x = F.col(column)
     hit = F.filter(
         "_rules", lambda r: (x >= r["at_least"]) & (r["at_most"].isNull() | (x <= r["at_most"]))
     )
+    rank = ["rank"] if "rank" in rules.columns else []
     grouped = rules.groupBy("id").agg(
-        F.collect_list(F.struct("at_least", "at_most", "becomes")).alias("_rules")
+        F.sort_array(F.collect_list(F.struct(*rank, "at_least", "at_most", "becomes"))).alias("_rules")
     )
     return (
         df.join(grouped, "id", "left")

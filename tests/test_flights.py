@@ -145,3 +145,12 @@ def test_short_flights_and_flights_without_pressure_drop_are_left_out(spark):
     table = hourly_flights(df, pressure=press)
     kept = flights.migratory_only(flights.flights(table), table).collect()
     assert [(r.flight_group, r.pressure_change) for r in kept] == [(1, -100.0)]
+
+
+def test_pressure_of_an_hour_with_several_samples(spark):
+    hour = dt.datetime(2024, 1, 1, 5)
+    hourly = spark.createDataFrame([("a", hour), ("a", hour + dt.timedelta(hours=1)), ("b", hour)], "id string, date timestamp")
+    samples = [("a", hour + dt.timedelta(minutes=m), t, p) for m, t, p in ((30, 2.0, 990.0), (10, 1.0, 980.0), (10, 1.0, 980.0), (59, None, None))]
+    pressure = spark.createDataFrame(samples, "id string, date timestamp, temp_c double, pressure_hpa double")
+    got = sorted(tuple(r) for r in flights.attach_pressure(hourly, pressure).select("id", "date", "temp_c", "pressure_hpa").collect())
+    assert got == [("a", hour, 1.0, 980.0), ("a", hour + dt.timedelta(hours=1), None, None), ("b", hour, None, None)]

@@ -88,6 +88,43 @@ def test_pressure_map_ignores_a_constant_offset(spark):
     assert got[52.0].likelihood == 0.0
 
 
+def test_pressure_map_is_the_same_for_any_blocks_and_parts(spark):
+    hours = [NOON + dt.timedelta(hours=i) for i in range(12)]
+    rng = np.random.default_rng(3)
+    tags = [(f"t{k}", 1 + i % 2, h, 990 + float(rng.normal())) for k in range(9) for i, h in enumerate(hours)]
+    tag = spark.createDataFrame(tags, "id string, stap_id int, date timestamp, pressure_hpa double")
+    places = [(lat, lon) for lat in (-89.5, -10.0, 0.0, 30.0, 70.0) for lon in (-179.5, -170.0, 0.0, 20.0, 179.5)]
+    cells = [(lat, lon, h, 985 + float(rng.normal())) for lat, lon in places for h in hours]
+    era = spark.createDataFrame(cells, "lat double, lon double, ts timestamp, surface_pressure double")
+    extents = spark.createDataFrame(
+        [("t0", -5, 25, -10, 30), ("t1", 170, -175, -90, 90), ("t2", 50, 60, 0, 10), ("t3", 20, 20, 30, 30), ("t9", 0, 1, 0, 1)],
+        "id string, west int, east int, south int, north int",
+    )
+    inside = {
+        "t0": lambda lat, lon: -5 <= lon <= 25 and -10 <= lat <= 30,
+        "t1": lambda lat, lon: lon >= 170 or lon <= -175,
+        "t2": lambda lat, lon: False,
+        "t3": lambda lat, lon: (lat, lon) == (30, 20),
+    }
+    pressures, surface = {}, {}
+    for name, stap, h, p in tags:
+        pressures.setdefault((name, stap), {})[h] = p
+    for lat, lon, h, p in cells:
+        surface.setdefault((lat, lon), {})[h] = p
+    for limits in (None, extents):
+        want = {}
+        for (name, stap), series_ in pressures.items():
+            for place, era_ in surface.items():
+                if limits is None or inside.get(name, lambda *_: True)(*place):
+                    d = [p - era_[h] for h, p in series_.items()]
+                    want[(name, stap, *place)] = (len(d), np.var(d))
+        for block, rows_per_key in ((10.0, 1000), (7.0, 2), (500.0, 1)):
+            got = grid.pressure_map(tag, era, extents=limits, block=block, rows_per_key=rows_per_key).collect()
+            assert {(r.id, r.stap_id, r.lat, r.lon): (r.n, pytest.approx(r.mse)) for r in got} == want
+            assert len(got) == len(want)
+    assert grid.pressure_map(tag.limit(0), era).count() == 0 and grid.pressure_map(tag, era.limit(0)).count() == 0
+
+
 def test_pressure_mask_allows_for_the_ground_of_a_cell(spark):
     tag = spark.createDataFrame(
         [("a", 1, NOON + dt.timedelta(hours=i), 900.0 + i % 2) for i in range(10)],

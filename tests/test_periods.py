@@ -73,6 +73,17 @@ def test_recodes_do_not_feed_each_other(spark):
     )
 
 
+def test_of_several_recodes_the_first_by_rank_counts(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 9.0)], "id string, period double")
+    schema = "id string, at_least double, at_most double, becomes double, rank int"
+    both = [("a", 0.0, None, 1.0, 2), ("a", 4.0, 6.0, 2.0, 1)]
+    for order in (both, both[::-1]):
+        ranked = rules.recode_period(df, spark.createDataFrame(order, schema)).collect()
+        assert sorted(r.period for r in ranked) == [1.0, 2.0]
+        plain = rules.recode_period(df, spark.createDataFrame(order, schema).drop("rank")).collect()
+        assert [r.period for r in plain] == [1.0, 1.0]
+
+
 def test_cut_at_period(spark):
     cuts = rule_table(spark, study.PERIOD_CUTS, "id string, period double, keep string, shift int")
     d = [dt.date(2023, 9, n) for n in range(1, 8)]

@@ -155,6 +155,43 @@ def pressure_map(spark, sf_dir):
     )
 
 
+def tag_extents(spark, sf_dir):
+    """An extent of each tag, moved east and north with the first figure of its name."""
+    n = F.substring("o_orderpriority", 1, 1).cast("double")
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("id"))
+        .agg(
+            F.max(n + 64).alias("west"),
+            F.max(n + 76).alias("east"),
+            F.max(n / 2).alias("south"),
+            F.max(n / 2 + 3).alias("north"),
+        )
+    )
+
+
+@query(
+    "pressure_map_in_extents",
+    """
+SELECT id, stap_id, lat, lon, n, round(mse, 6) AS mse, round(share, 6) AS share_in_range,
+       round(likelihood, 6) AS likelihood
+FROM pressure_cell
+WHERE lon BETWEEN substr(id, 1, 1)::DOUBLE + 64 AND substr(id, 1, 1)::DOUBLE + 76
+  AND lat BETWEEN substr(id, 1, 1)::DOUBLE / 2 AND substr(id, 1, 1)::DOUBLE / 2 + 3
+""",
+)
+def pressure_map_in_extents(spark, sf_dir):
+    return grid.pressure_map(
+        tag_pressure(spark, sf_dir),
+        reanalysis(spark, sf_dir),
+        sd=8,
+        margin=10,
+        thr_mask=0.55,
+        extents=tag_extents(spark, sf_dir),
+        block=2.0,
+    ).withColumns({c: rounded(c) for c in ("mse", "share_in_range", "likelihood")})
+
+
 @query(
     "light_twilights",
     """
