@@ -1,18 +1,21 @@
 """Jaccard join of word shingles with a MinHash LSH forest and exact verification.
 
-Each tree of the forest holds the signatures of all documents as a trie; a prefix
-of a signature is a node, and the documents below a node are candidates.  Prefixes
-are matched at full depth first and shortened until the expected recall at the
-threshold reaches the target.  Candidates that hang together form a group.  Groups are
+Each tree of the forest holds the signatures of all documents as a trie, kept as a table
+sorted by tree and signature, in which the documents below a node are neighbours.  All
+documents are matched at full depth; a document whose expected recall is still below the
+target is matched one level shorter, and so on.  How short depends on the document: the
+fewer its shingles, the fewer similarities at or above the threshold it can have, and the
+least of them sets its recall at a level.  Candidates that hang together form a group.  Groups are
 cut into blocks of bounded weight, every two blocks of a group meet in one task, and
-the exact Jaccard of each pair there is counted with set intersections as matrix
-products.  Tasks return counts and roots, never pairs, so that a large group of near
+the exact Jaccard of each pair there is counted with intersections of the sets of 64-bit
+shingle hashes as matrix products.  Tasks return counts and roots, never pairs, so that a large group of near
 copies gives as many rows as documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,20 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featherline.llm.arrays import chunks, list_array, text_bytes
+from featherline.llm.arrays import chunks, list_array, mix, text_bytes
 from featherline.llm.components import components
-from featherline.llm.signatures import batch_shingles, minhash, prefixes
+from featherline.llm.signatures import batch_shingles, minhash
 from featherline.llm.similarity import local_roots
 from featherline.llm.tables import keep, with_texts
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 20, 5, 0.9999
+TREES, DEPTH, RECALL = 20, 6, 0.9999
+#: Documents of more shingles may have any similarity from the threshold on.
+SMALL_SET = 40
 #: Shingles of a block, and columns of a matrix of the verification.
 BLOCK_SHINGLES = 200_000
 MATRIX_CELLS = 4_000_000
 MAX_BLOCK_ROWS = 1024
 
-SIGNATURE = "doc_id long, text_key binary, n_shingles int, prefixes array<long>"
+SIGNATURE = "doc_id long, text_key binary, n_shingles int, shortest int, signature binary"
+LINK = "level int, node binary, a long, b long"
 
 
 def expected_recall(similarity: float, prefix: int, trees: int) -> float:
@@ -48,40 +54,119 @@ def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> in
     return length
 
 
+def least_similarity(size: int, threshold: float) -> float:
+    """The least Jaccard similarity at or above the threshold that a set of `size` elements can have."""
+    least = 1.0
+    for common in range(math.ceil(threshold * size - 1e-9), size + 1):
+        union = math.floor(common / threshold + 1e-9)
+        if common > 0 and union >= size:
+            least = min(least, common / union)
+    return least
+
+
+def shortest_prefixes(threshold: float, trees: int, depth: int, recall: float) -> np.ndarray:
+    """For sets of 0 to SMALL_SET elements and, in the last place, more: the level at which shortening ends."""
+    similarities = [least_similarity(n, threshold) for n in range(SMALL_SET + 1)] + [threshold]
+    return np.array([prefix_length(s, trees, depth, recall) for s in similarities], np.int32)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def signed(docs: DataFrame, width: int, trees: int, depth: int, length: int) -> DataFrame:
-    """For each document a key of its lower-cased text, its number of shingles, and the prefix key of each tree."""
+def signed(docs: DataFrame, width: int, trees: int, depth: int, shortest: np.ndarray) -> DataFrame:
+    """For each document a key of its lower-cased text, its number of shingles, its shortest prefix and its signature.
+
+    A signature is the values of all trees, tree by tree, of four bytes each.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts = batch.column(1)
             hashes, at = batch_shingles(texts, width)
             sizes = np.diff(at)
-            keys = prefixes(minhash(hashes, at, trees * depth), trees, depth)[length - 1].T
+            values = mix(minhash(hashes, at, trees * depth)).astype(">u4").T.tobytes()
+            ends = np.cumsum(sizes > 0) * (4 * trees * depth)
+            paths = [values[b - 4 * trees * depth : b] if n else b"" for n, b in zip(sizes, ends)]
+            levels = shortest[np.minimum(sizes, SMALL_SET + 1)]
+            for i in np.flatnonzero(sizes <= SMALL_SET):
+                levels[i] = shortest[len(np.unique(hashes[at[i] : at[i + 1]]))]
             flat, spots = text_bytes(texts)
             data = flat.tobytes()
             digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(spots, spots[1:])]
-            filled = np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))])
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32))]
-            columns.append(list_array(np.ascontiguousarray(keys).ravel().view(np.int64), filled))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "prefixes"])
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(levels), pa.array(paths, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "shortest", "signature"])
 
     return _texts(docs).mapInArrow(run, SIGNATURE)
 
 
-def candidate_groups(distinct: DataFrame) -> DataFrame:
-    """Groups of documents connected by shared prefixes: columns rep, grp; single documents are left out.
+def trie_links(leaves: DataFrame, depth: int) -> DataFrame:
+    """Links between documents below a common node, at levels that neither of them has stopped above.
 
-    A node with many documents is reduced to its least one by partial aggregation;
-    each document is linked to that one alone.
+    leaves: tree, path (`depth` values of four bytes), rep, shortest.  The leaves are sorted
+    over all tasks by tree, path and rep, so a node is a run of neighbours, which may reach over
+    several tasks.  A task links the leaves of a run to its first; rows with a level
+    are the ends of a task's runs that a neighbouring task may continue.
     """
-    keys = distinct.select("rep", F.explode("prefixes").alias("key"))
-    nodes = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(nodes, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    reach = keep(components(edges))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["level", "node", "a", "b"]
+        running: dict[int, tuple[np.ndarray, int]] = {}  # for each level the node of its last leaf and the run's first leaf
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, stop = batch.column("rep").to_numpy(), batch.column("shortest").to_numpy()
+            path = np.frombuffer(b"".join(batch.column("path").to_pylist()), ">u4").reshape(-1, depth).astype(np.int64)
+            keys = np.column_stack([batch.column("tree").to_numpy().astype(np.int64), path])
+            before, links, ends = np.empty(len(rep), np.int64), [], []
+            for level in range(depth, 0, -1):
+                on = np.flatnonzero(stop <= level)
+                if not len(on):
+                    break
+                node, mine = keys[on, : level + 1], rep[on]
+                new = np.append(True, (node[1:] != node[:-1]).any(axis=1))
+                firsts = mine[new]
+                if level not in running:
+                    ends.append((level, node[0].tobytes(), int(mine[0])))
+                elif (running[level][0] == node[0]).all():
+                    firsts[0] = running[level][1]
+                head = firsts[np.cumsum(new) - 1]
+                linked = head != mine
+                if level < depth:
+                    linked &= head != before[on]  # a link of the level below already says it
+                links.append((mine[linked], head[linked]))
+                before[on] = head
+                running[level] = (node[-1].copy(), int(head[-1]))
+            a, b = (np.concatenate(x) for x in zip(*links))
+            none = len(a) + len(ends)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None] * len(a) + [e[0] for e in ends], pa.int32()),
+                    pa.array([None] * len(a) + [e[1] for e in ends], pa.binary()),
+                    pa.array([*a.tolist(), *(e[2] for e in ends)], pa.int64()),
+                    pa.array([*b.tolist(), *([None] * (none - len(a)))], pa.int64()),
+                ],
+                names,
+            )
+        last = [(level, node.tobytes(), head) for level, (node, head) in running.items()]
+        if last:
+            columns = [pa.array(c, t) for c, t in zip(zip(*last), (pa.int32(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(last), pa.int64())], names)
+
+    ordered = leaves.repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
+    found = keep(ordered.mapInArrow(run, LINK))
+    ends = found.where("level is not null").select("level", "node", "a")
+    firsts = ends.groupBy("level", "node").agg(F.min("a").alias("b"))
+    across = ends.join(firsts, ["level", "node"]).select("a", "b")
+    return found.where("level is null").select("a", "b").unionByName(across).where("a <> b").distinct()
+
+
+def candidate_groups(distinct: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Groups of documents connected by nodes of the forest: columns rep, grp; single documents are left out."""
+    size = 4 * depth
+    leaves = distinct.select("rep", "shortest", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    leaves = leaves.select("tree", F.expr(f"substring(signature, tree * {size} + 1, {size})").alias("path"), "rep", "shortest")
+    reach = keep(components(trie_links(leaves, depth)))
     roots = reach.select(F.col("component").alias("node"), "component").distinct()
     return reach.unionByName(roots).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
@@ -194,15 +279,15 @@ def near_duplicates(
 
     Returns doc_id, class_id, n_links, kept.
     """
-    length = prefix_length(threshold, trees, depth, recall)
-    rows = keep(signed(docs.where("doc_id is not null"), width, trees, depth, length))
+    shortest = shortest_prefixes(threshold, trees, depth, recall)
+    rows = keep(signed(docs.where("doc_id is not null"), width, trees, depth, shortest))
     distinct = (
         rows.where("n_shingles > 0")
         .groupBy("text_key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("prefixes").alias("prefixes"))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("shortest").alias("shortest"), F.min("signature").alias("signature"))
     )
     distinct = keep(distinct)
-    groups = candidate_groups(distinct)
+    groups = candidate_groups(distinct, trees, depth)
     members = keep(distinct.select("rep", "copies", "n_shingles").join(groups, "rep"))
     found = keep(verified(members, docs, width, threshold))
     reach = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from featherline.llm.arrays import mix, seeds, span_hashes, text_bytes, word_shingles, word_spans
+from featherline.llm.arrays import seeds, span_hashes, text_bytes, word_shingles, word_spans
 
 
 def batch_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,14 +25,3 @@ def minhash(hashes: np.ndarray, at: np.ndarray, count: int, seed: int = 7) -> np
             np.multiply(hashes, factor, out=product)
             out[j] = np.minimum.reduceat(product, starts)
     return out
-
-
-def prefixes(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Keys of all prefixes: [level, tree, row] hashes the first level + 1 values of the tree's signature."""
-    values = signature.reshape(trees, depth, -1)
-    out = np.empty((depth, trees, values.shape[2]), np.uint64)
-    key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64)[:, None], out.shape[1:])
-    for level in range(depth):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, level])
-        out[level] = key
-    return out

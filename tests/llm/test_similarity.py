@@ -117,3 +117,35 @@ def test_documents_against_all_pairs(spark, monkeypatch, small):
 def test_prefixes_shorten_until_the_recall():
     length = ngram_join.prefix_length(0.8, 20, 5, 0.9999)
     assert ngram_join.expected_recall(0.8, length, 20) >= 0.9999 > ngram_join.expected_recall(0.8, length + 1, 20)
+
+
+def test_levels_depend_on_what_a_document_can_share():
+    levels = ngram_join.shortest_prefixes(0.8, 20, 6, 0.9999)
+    assert [ngram_join.least_similarity(n, 0.8) for n in (1, 3, 4, 6, 7, 8)] == [1, 1, 4 / 5, 5 / 6, 6 / 7, 4 / 5]
+    assert list(levels[[1, 3, 4, 5, 6, 7, 8, ngram_join.SMALL_SET + 1]]) == [6, 6, 4, 4, 5, 6, 4, 4]
+    for n in range(1, ngram_join.SMALL_SET + 1):
+        all_similarities = [i / (n + m - i) for m in range(1, 2 * n + 2) for i in range(1, min(n, m) + 1) if 5 * i >= 4 * (n + m - i)]
+        assert ngram_join.least_similarity(n, 0.8) == min(all_similarities)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_tries_link_what_shares_a_node(spark, parts):
+    rng = np.random.default_rng(5)
+    depth = 3
+    rows = [(int(t), rng.integers(0, 3, depth), int(r), int(rng.integers(1, depth + 1))) for t in range(2) for r in range(60)]
+    rows += [(5, np.array([1, 1, 1]), r, 3) for r in range(100, 140)]  # one leaf of many documents, cut over tasks
+    data = [(t, bytearray(p.astype(">u4").tobytes()), r, s) for t, p, r, s in rows]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(data, "tree int, path binary, rep long, shortest int")
+        links = [tuple(r) for r in ngram_join.trie_links(df, depth).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    allowed = set()
+    for t, p, r, s in rows:
+        for u, q, v, w in rows:
+            if t == u and r != v and (p[: max(s, w)] == q[: max(s, w)]).all():
+                allowed.add((r, v))
+    nodes = {r for _, _, r, _ in rows}
+    assert set(links) <= allowed
+    assert classes(nodes, links) == classes(nodes, allowed)
