@@ -15,22 +15,44 @@ from pyspark.sql import functions as F
 from featherline.session import keep
 
 
+def coded(df: DataFrame, x: str, reference: str, other: str) -> DataFrame:
+    """The column `x` of two levels as 0 for the reference and 1 for the other; any further level is unknown."""
+    level = F.col(x)
+    return df.withColumn(x, F.when(level == F.lit(reference), 0).when(level == F.lit(other), 1))
+
+
 def group_sums(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Sums of a response and a 0/1 regressor per tag, added up by group size."""
+    """Sums of a response and a 0/1 regressor per tag, added up by group size.
+
+    Moments of each tag are taken around its own means and then moved to the mean of all
+    rows (`shift`), so that a large mean costs no digits.
+    """
     y, x = F.col(y).cast("double"), F.col(x).cast("double")
-    tags = (
+    tags = keep(
         df.where(y.isNotNull() & x.isNotNull())
         .groupBy("id")
         .agg(
             F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum(x).alias("x"),
-            F.sum(y).alias("y"),
-            F.sum(x * x).alias("xx"),
-            F.sum(x * y).alias("xy"),
-            F.sum(y * y).alias("yy"),
+            F.avg(x).alias("mx"),
+            F.avg(y).alias("my"),
+            F.var_pop(x).alias("vxx"),
+            F.covar_pop(x, y).alias("vxy"),
+            F.var_pop(y).alias("vyy"),
         )
     )
+    shift = tags.agg(F.try_divide(F.sum(F.col("n") * F.col("my")), F.sum("n"))).first()[0]
+    n, mx = F.col("n"), F.col("mx")
+    apart = F.col("my") - F.lit(shift).cast("double")
+    tags = tags.select(
+        "n",
+        (n * mx).alias("x"),
+        (n * apart).alias("y"),
+        (n * (F.col("vxx") + mx * mx)).alias("xx"),
+        (n * (F.col("vxy") + mx * apart)).alias("xy"),
+        (n * (F.col("vyy") + apart * apart)).alias("yy"),
+    )
     return tags.groupBy("n").agg(
+        F.lit(shift).cast("double").alias("shift"),
         F.count(F.lit(1)).cast("double").alias("m"),
         *[F.sum(c).alias(c) for c in ("x", "y", "xx", "xy", "yy")],
         F.sum(F.col("x") * F.col("x")).alias("x_x"),
@@ -46,6 +68,7 @@ def profile(sums: DataFrame, ratios: list[float]) -> DataFrame:
         sums.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
         .groupBy("ratio")
         .agg(
+            F.max("shift").alias("shift"),
             F.sum(F.col("m") * F.col("n")).alias("rows"),
             F.sum(F.col("m") * (F.col("n") - c * F.col("n") * F.col("n"))).alias("a11"),
             F.sum(F.col("x") - c * F.col("n") * F.col("x")).alias("a1x"),
@@ -78,8 +101,9 @@ def profile(sums: DataFrame, ratios: list[float]) -> DataFrame:
             {
                 "se_intercept": F.sqrt(F.col("var_residual") * F.col("axx") / F.col("det")),
                 "se_slope": F.sqrt(F.col("var_residual") * F.col("a11") / F.col("det")),
-                "mean_reference": F.col("intercept"),
-                "mean_other": F.col("intercept") + F.col("slope"),
+                "intercept": F.col("intercept") + F.col("shift"),
+                "mean_reference": F.col("intercept") + F.col("shift"),
+                "mean_other": F.col("intercept") + F.col("shift") + F.col("slope"),
                 "se_mean_other": F.sqrt(
                     F.col("var_residual")
                     * (F.col("axx") + F.col("a11") - 2 * F.col("a1x"))
@@ -88,26 +112,42 @@ def profile(sums: DataFrame, ratios: list[float]) -> DataFrame:
                 "contrast": -F.col("slope"),
             }
         )
-        .drop("a11", "a1x", "axx", "a1y", "axy", "ayy", "log_v", "det")
+        .drop("shift", "a11", "a1x", "axx", "a1y", "axy", "ayy", "log_v", "det")
     )
 
 
-def barrier_model(df: DataFrame, y: str, x: str, rounds: int = 6, points: int = 21) -> DataFrame:
+def barrier_model(
+    df: DataFrame, y: str, x: str, tolerance: float = 1e-7, points: int = 21, limits: tuple[float, float] = (-12.0, 12.0)
+) -> DataFrame:
     """The ratio of least deviance with its estimates, as one row.
 
-    Searches zero and a logarithmic grid, then narrows the grid around the best
-    ratio.  The driver sees one number per round.
+    The least deviance over zero and a logarithmic grid is bracketed by its neighbours; each
+    round puts a finer grid over the bracket, or moves on if the least is at its end.
+    `converged` says that the bracket is no wider than the tolerance, in powers of ten of the ratio, or that
+    the least is at zero and no ratio down to the lower limit is as good.  A search that ends at the
+    upper limit has not converged.  Without rows the table is empty.  The driver sees a few
+    numbers per round.
     """
     sums = keep(group_sums(df, y, x))
-    low, high = -6.0, 4.0
-    best = None
-    for _ in range(rounds):
+    low, high = max(-6.0, limits[0]), min(4.0, limits[1])
+    while True:
         step = (high - low) / (points - 1)
-        grid = [0.0] + [10 ** (low + step * i) for i in range(points)]
-        best = profile(sums, grid).orderBy("deviance").limit(1)
-        ratio = best.first().ratio
-        if ratio == 0.0:
-            low, high = low - 4.0, low + step
+        powers = [low + step * i for i in range(points)]
+        ratios = [0.0, *(10.0**p for p in powers)]
+        best = profile(sums, ratios).where("deviance is not null").orderBy("deviance", "ratio").limit(1)
+        row = best.first()
+        if row is None:
+            return best.withColumn("converged", F.lit(False))
+        at = ratios.index(row.ratio) - 1
+        if at < 0:
+            if low <= limits[0]:
+                return best.withColumn("converged", F.lit(True))
+            low, high = max(limits[0], low - 4.0), low + step
+        elif at == points - 1 and high < limits[1]:
+            low, high = high - step, min(limits[1], high + 4.0)
+        elif at == 0 and low > limits[0]:
+            low, high = max(limits[0], low - 4.0 * step), low + step
+        elif step <= tolerance:
+            return best.withColumn("converged", F.lit(at < points - 1))
         else:
-            low, high = math.log10(ratio) - step, math.log10(ratio) + step
-    return best
+            low, high = max(limits[0], powers[at] - step), min(limits[1], powers[at] + step)

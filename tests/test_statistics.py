@@ -146,3 +146,34 @@ def test_model_finds_the_least_deviance(spark, spread):
     fine = min(dense(ids, y, x, q)[0] for q in np.concatenate([[0], np.logspace(-6, 4, 4001)]))
     assert r.deviance == pytest.approx(fine, abs=1e-4)
     assert r.contrast == -r.slope and r.mean_other == r.intercept + r.slope
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e6])
+def test_model_keeps_its_digits_at_large_means(spark, mean):
+    ids, y, x = simulate(2.0)
+    df = spark.createDataFrame(list(zip(ids.tolist(), (y + mean).tolist(), x.tolist())), "id int, y double, x double")
+    r = mixed_model.barrier_model(df, "y", "x").first()
+    _, b, s2, cov = dense(ids, y, x, r.ratio)
+    assert r.converged
+    assert (r.intercept - mean, r.slope, r.var_residual) == pytest.approx((b[0], b[1], s2), rel=1e-6)
+    assert (r.se_intercept, r.se_slope) == pytest.approx((cov[0, 0] ** 0.5, cov[1, 1] ** 0.5), rel=1e-6)
+    step = 1e-5
+    assert r.deviance <= min(dense(ids, y, x, r.ratio * 10**d)[0] for d in (-step, step)) + 1e-9
+
+
+def test_model_search_says_whether_it_has_converged(spark):
+    # Tags differ and nothing else: the ratio grows without end.
+    rows = [(t, float(t) + 2.0 * b, b) for t in range(5) for b in (0, 1, 1)]
+    noise = [(t, v + 1e-9 * ((i * 7) % 5), b) for i, (t, v, b) in enumerate(rows)]
+    df = spark.createDataFrame(noise, "id int, y double, x int")
+    assert not mixed_model.barrier_model(df, "y", "x", limits=(-3.0, 2.0)).first().converged
+    # No difference between tags: zero is the best ratio.
+    flat = spark.createDataFrame([(t, float(b + w), b) for t in range(5) for b in (0, 1) for w in (0, 1, 2)], "id int, y double, x int")
+    r = mixed_model.barrier_model(flat, "y", "x").first()
+    assert (r.ratio, r.converged) == (0.0, True)
+    assert mixed_model.barrier_model(flat.limit(0), "y", "x").count() == 0
+
+
+def test_levels_of_a_factor(spark):
+    df = spark.createDataFrame([("Inside",), ("Outside",), ("Elsewhere",), (None,)], "barrier string")
+    assert [r.barrier for r in mixed_model.coded(df, "barrier", "Outside", "Inside").collect()] == [1, 0, None, None]

@@ -557,6 +557,46 @@ def barrier_model_profile(spark, sf_dir):
     )
 
 
-@query("barrier_model")
+# The search in SQL: rounds of grids, each ten times finer around the best ratio of the one before, from plain sums.
+ROUNDS = 7
+step("model_grid_0", "SELECT 10 ** (-4 + 0.25 * i) AS ratio FROM range(25) t(i)")
+for _k in range(ROUNDS):
+    step(
+        f"model_best_{_k}",
+        f"""
+SELECT *, (m - 2) * (ln(s2) + 1 + ln(2 * pi())) + log_v + ln(det) AS deviance
+FROM (SELECT *, (ayy - b0 * a1y - b1 * axy) / (m - 2) AS s2
+      FROM (SELECT *, (axx * a1y - a1x * axy) / det AS b0, (a11 * axy - a1x * a1y) / det AS b1
+            FROM (SELECT *, a11 * axx - a1x * a1x AS det
+                  FROM (SELECT ratio, sum(n) AS m, sum(n - c * n * n) AS a11, sum(sx - c * n * sx) AS a1x, sum(sxx - c * sx * sx) AS axx,
+                               sum(sy - c * n * sy) AS a1y, sum(sxy - c * sx * sy) AS axy, sum(syy - c * sy * sy) AS ayy, sum(ln(1 + n * ratio)) AS log_v
+                        FROM (SELECT *, ratio / (1 + n * ratio) AS c FROM model_sum, model_grid_{_k}) GROUP BY ratio))))
+ORDER BY deviance LIMIT 1
+""",
+    )
+    step(
+        f"model_grid_{_k + 1}",
+        f"SELECT 10 ** (log10(ratio) + {0.25 / 10**_k!r} * i / 10) AS ratio FROM model_best_{_k}, range(-10, 11) t(i)",
+    )
+
+
+@query(
+    "barrier_model",
+    f"""
+SELECT round(log10(ratio), 3) AS log_ratio, round(b0, 6) AS intercept, round(b0 + b1, 6) AS mean_other, round(-b1, 6) AS contrast,
+       round(sqrt(s2 * axx / det), 6) AS se_intercept, round(sqrt(s2 * a11 / det), 6) AS se_slope,
+       round(sqrt(s2 * (axx + a11 - 2 * a1x) / det), 6) AS se_mean_other, round(s2, 7) AS var_residual,
+       round(ratio * s2, 6) AS var_id, round(deviance, 3) AS deviance, true AS converged
+FROM model_best_{ROUNDS - 1}
+""",
+)
 def barrier_model(spark, sf_dir):
-    return mixed_model.barrier_model(_model_rows(spark, sf_dir), "y", "x")
+    found = mixed_model.barrier_model(_model_rows(spark, sf_dir), "y", "x")
+    return found.select(
+        F.round(F.log10("ratio"), 3).alias("log_ratio"),
+        *[rounded(c).alias(c) for c in ("intercept", "mean_other", "contrast", "se_intercept", "se_slope", "se_mean_other")],
+        rounded("var_residual", 7).alias("var_residual"),
+        rounded("var_id").alias("var_id"),
+        rounded("deviance", 3).alias("deviance"),
+        "converged",
+    )
