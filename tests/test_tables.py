@@ -67,6 +67,42 @@ def test_columns_are_found_by_header(spark, tmp_path):
     assert [(r.id, r.acc3, r.acc4, r.acc5) for r in got] == [("A", 1, None, 3), ("A", 2, None, None)]
 
 
+def test_files_of_one_folder_may_have_different_headers(spark, tmp_path, rows):
+    folder = tmp_path / "acc.csv"
+    folder.mkdir()
+    (folder / "part one.csv").write_text("acc5,acc3,date,id\n3,1,2023-08-01T05:00:00Z,A\n")
+    (folder / "part [2]+.csv").write_text("id,date,acc3,acc4\nB,2023-08-01T06:00:00Z,2,7\n")
+    (folder / "part3.csv").write_text("id,date,acc3,acc4\nC,2023-08-01T06:00:00Z,4,8\n")
+    (folder / "empty.csv").write_text("")
+    assert rows(readers.read_acc(spark, str(folder)), "id", "acc3", "acc4", "acc5") == [("A", 1, None, 3), ("B", 2, 7, None), ("C", 4, 8, None)]
+    for tag, text in (("A", "x,y\n1,2\n"), ("B", "y,z,x\n3,9,4\n")):
+        (tmp_path / "tags" / tag).mkdir(parents=True)
+        (tmp_path / "tags" / tag / f"{tag}_acc.csv").write_text(text)
+    df = readers.read_union(spark, str(tmp_path / "tags"), "_acc.csv", "x int, y int")
+    assert rows(df, "id", "x", "y") == [("A", 1, 2), ("B", 4, 3)]
+
+
+def test_a_large_light_file_is_read_in_blocks(spark, tmp_path):
+    for tag, n in (("A", 3000), ("B", 1), ("C", 500)):
+        (tmp_path / tag).mkdir()
+        text = "".join(f"05/03/2024 04:{i % 60:02d}:00\t{i}\r\n" for i in range(n))
+        (tmp_path / tag / f"{tag}.lux").write_bytes(("maker\r\nDD/MM/YYYY HH:MM:SS\tlight(lux)\r\n" + text).encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "4096")
+    spark.conf.set(names[1], "7")
+    try:
+        df = readers.light_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        got = df.collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert not [r for r in got if r._corrupt_record is not None]
+    for tag, n in (("A", 3000), ("B", 1), ("C", 500)):
+        assert sorted(r.lux for r in got if r.id == tag) == [float(i) for i in range(n)]
+
+
 def test_tags_by_suffix(spark, folder):
     got = readers.read_tags(spark, str(folder / "light"), ".lux").collect()
     assert sorted(r.id for r in got) == ["AA1", "BB2"]
