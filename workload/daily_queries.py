@@ -366,6 +366,27 @@ def activity_by_latitude_bin(spark, sf_dir):
     )
 
 
+@query(
+    "activity_by_latitude_bin_and_stopover",
+    """
+SELECT round_even(lat / 3, 0) * 3 + 0.0::DOUBLE AS lat_bin, round(avg(mean_activity), 6) + 0.0::DOUBLE AS mean_across,
+       round(stddev_samp(mean_activity) / sqrt(count(*)), 6) AS se_across
+FROM (SELECT DISTINCT p.id, p.lat, p.mean_activity, d.stopover_id
+      FROM lat_profile p JOIN day_period d
+      ON p.id = d.id AND p.lat IS NOT DISTINCT FROM d.lat AND d.day_of_year BETWEEN 5 AND 28)
+GROUP BY ALL
+""",
+)
+def activity_by_latitude_bin_and_stopover(spark, sf_dir):
+    """The autumn form: a tag counts once for each stopover at a latitude."""
+    rows = crossing.activity_by_lat(_profile_days(spark, sf_dir), per_stopover=True)
+    return crossing.lat_bins(rows).select(
+        (F.col("lat_bin") + 0.0).alias("lat_bin"),
+        rounded("mean_across").alias("mean_across"),
+        rounded("se_across").alias("se_across"),
+    )
+
+
 step(
     "cropped_hour",
     """

@@ -562,6 +562,69 @@ def map_path(spark, sf_dir):
     return grid.map_to_path(pressure_cells(spark, sf_dir))
 
 
+step(
+    "path_span",
+    "SELECT id, stap_id, (epoch_us(min(date)::TIMESTAMP) + epoch_us(max(date)::TIMESTAMP)) / 2 AS mid FROM tag_pressure GROUP BY ALL",
+)
+step(
+    "path_known",
+    """
+SELECT s.*, b.lat, b.lon, CASE WHEN b.lat IS NOT NULL THEN mid END AS spot
+FROM path_span s LEFT JOIN best_cell b ON s.id = b.id AND s.stap_id = b.stap_id AND b.stap_id % 2 = 0
+""",
+)
+step(
+    "path_near",
+    """
+SELECT *, coalesce((mid - t0) / nullif(t1 - t0, 0), 0) AS part
+FROM (SELECT *, max(spot) OVER (PARTITION BY id ORDER BY stap_id) AS t0,
+             min(spot) OVER (PARTITION BY id ORDER BY stap_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1
+      FROM path_known)
+""",
+)
+
+
+@query(
+    "path_between_maps",
+    """
+SELECT v.id, v.stap_id, round(coalesce(v.lat, a.lat + (b.lat - a.lat) * part, a.lat, b.lat), 6) AS lat,
+       round(coalesce(v.lon, a.lon + (b.lon - a.lon) * part, a.lon, b.lon), 6) AS lon, v.lat IS NULL AS interpolated
+FROM path_near v LEFT JOIN path_known a ON v.id = a.id AND v.t0 = a.spot LEFT JOIN path_known b ON v.id = b.id AND v.t1 = b.spot
+""",
+)
+def path_between_maps(spark, sf_dir):
+    """Periods of even numbers have a map, the others lie between them."""
+    pressure = tag_pressure(spark, sf_dir)
+    periods = pressure.groupBy("id", "stap_id").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    path = grid.map_to_path(pressure_cells(spark, sf_dir).where("stap_id % 2 = 0"), periods)
+    return path.withColumns({c: rounded(c) for c in ("lat", "lon")})
+
+
+@query(
+    "pinned_map",
+    """
+SELECT c.id, c.stap_id, c.lat, c.lon,
+       round(CASE WHEN k.id IS NULL THEN likelihood
+                  WHEN abs(c.lat - known_lat) <= 0.5 AND abs(c.lon - 78.3) <= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS likelihood
+FROM pressure_cell c
+LEFT JOIN (SELECT id, unnest([1993, max(stap_id)]) AS stap_id, substr(id, 1, 1)::DOUBLE + 0.2 AS known_lat FROM pressure_cell GROUP BY id) k
+ON c.id = k.id AND c.stap_id = k.stap_id
+""",
+)
+def pinned_map(spark, sf_dir):
+    """Pressure maps with the second year and the last one at known places."""
+    cells = pressure_cells(spark, sf_dir)
+    periods = cells.select("id", "stap_id").distinct()
+    known = periods.select("id").distinct().select(
+        "id",
+        F.array(F.lit(1993), F.lit(-1)).alias("stap_ids"),
+        (F.substring("id", 1, 1).cast("double") + 0.2).alias("known_lat"),
+        F.lit(78.3).alias("known_lon"),
+    )
+    pinned = grid.pin_map(cells, grid.pin_known(periods, known), scale=1.0)
+    return pinned.select("id", "stap_id", "lat", "lon", rounded("likelihood").alias("likelihood"))
+
+
 step(
     "path_press",
     """
