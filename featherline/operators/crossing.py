@@ -26,10 +26,17 @@ def with_barrier(daily: DataFrame, low: float, high: float) -> DataFrame:
     ).withColumn("barrier", F.when(F.col("lat").between(low, high), INSIDE).otherwise(OUTSIDE))
 
 
-def crop_to_period(hourly: DataFrame, period: int, before: int = 1, after: int = 2) -> DataFrame:
-    """Hours from some days before to some days after a period; tags without it drop out."""
+def crop_to_period(
+    hourly: DataFrame, period: int, before: int = 1, after: int = 2, days: DataFrame | None = None
+) -> DataFrame:
+    """Hours from some days before to some days after a period; tags without it drop out.
+
+    `days` is the daily table (id, date, period) that the hours have their periods from; with it the
+    bounds are found without reading the hours.
+    """
+    known = hourly.select("id", "period", "date_day") if days is None else days.select("id", "period", F.col("date").alias("date_day"))
     bounds = (
-        hourly.where(F.col("period") == period)
+        known.where(F.col("period") == period)
         .groupBy("id")
         .agg(
             F.date_sub(F.min("date_day"), before).alias("_from"),

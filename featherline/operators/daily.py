@@ -106,14 +106,26 @@ def first_per_day(flights: DataFrame) -> DataFrame:
 def complete_days(by_day: DataFrame, month: int = 6, day: int = 12) -> DataFrame:
     """Add every calendar day from `month`-`day` of the first year to the tag's last day.
 
-    Rows before that day are kept.
+    Rows before that day are kept.  Each row is stretched to the day before the tag's next row, the first
+    one also back to the start, so the table is read once and nothing is joined.
     """
-    span = by_day.groupBy("id").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    start = F.make_date(F.year("_lo"), F.lit(month), F.lit(day))
-    calendar = span.where(start <= F.col("_hi")).select(
-        "id", F.explode(F.sequence(start, F.col("_hi"))).alias("date")
+    w = Window.partitionBy("id").orderBy(F.col("date").asc_nulls_last())
+    rows = by_day.withColumns(
+        {
+            "_next": F.lead("date").over(w),
+            "_place": F.row_number().over(w),
+            "_lo": F.min("date").over(Window.partitionBy("id")),
+        }
+    ).withColumn("_start", F.make_date(F.year("_lo"), F.lit(month), F.lit(day)))
+    begin = F.when(F.col("_place") == 1, F.least("date", "_start")).otherwise(F.col("date"))
+    end = F.greatest(F.col("date"), F.date_sub("_next", 1))  # a missing next day is left out
+    own = F.col("_day").eqNullSafe(F.col("date"))
+    rest = [c for c in by_day.columns if c not in ("id", "date")]
+    return (
+        rows.withColumn("_day", F.explode_outer(F.when(F.col("date").isNotNull(), F.sequence(begin, end))))
+        .where(own | (F.col("_day") >= F.col("_start")))
+        .select("id", F.col("_day").alias("date"), *[F.when(own, F.col(c)).alias(c) for c in rest])
     )
-    return calendar.join(by_day, ["id", "date"], "full_outer")
 
 
 def add_period(daily: DataFrame, by_day: DataFrame) -> DataFrame:

@@ -89,6 +89,23 @@ def test_calendar_keeps_days_before_its_start(spark, rows):
     ]
 
 
+def test_calendar_is_one_pass_with_other_columns_and_missing_days(spark, rows):
+    by_day = spark.createDataFrame(
+        [("a", dt.date(2023, 6, 10), 2.0, "x"), ("a", dt.date(2023, 6, 11), 2.0, "y"), ("a", dt.date(2023, 6, 15), 4.0, "z"),
+         ("b", dt.date(2023, 6, 14), 2.0, "x"), ("c", None, 6.0, "n"), ("c", dt.date(2023, 1, 1), 2.0, "m")],
+        "id string, date date, period double, note string",
+    )
+    out = daily.complete_days(by_day)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    got = [(i, d and (d.month, d.day), p, n) for i, d, p, n in rows(out, "id", "date", "period", "note")]
+    assert sorted(got, key=str) == sorted(
+        [("a", (6, 10), 2.0, "x"), ("a", (6, 11), 2.0, "y"), ("a", (6, 12), None, None), ("a", (6, 13), None, None),
+         ("a", (6, 14), None, None), ("a", (6, 15), 4.0, "z"), ("b", (6, 12), None, None), ("b", (6, 13), None, None),
+         ("b", (6, 14), 2.0, "x"), ("c", (1, 1), 2.0, "m"), ("c", None, 6.0, "n")],
+        key=str,
+    )
+
+
 def test_first_flight_of_a_day_gives_its_period(spark):
     flights = spark.createDataFrame(
         [("a", 2, NOON + HOUR, 4.0), ("a", 1, NOON, None)],

@@ -398,7 +398,9 @@ ON h.id = b.id AND h.date_day BETWEEN b.lo AND b.hi
 
 
 def _cropped(spark, sf_dir):
-    return crossing.crop_to_period(adaptors.merged_with_period(spark, sf_dir), 4)
+    hours = adaptors.kept_hours(spark, sf_dir)
+    days = keep(adaptors.days_of(hours).select("id", "date", "period", "season"))
+    return crossing.crop_to_period(daily.hourly_with_period(hours, days), 4, days=days)
 
 
 @query("hours_around_period", "SELECT id, date, date_day, period, lat FROM cropped_hour")
