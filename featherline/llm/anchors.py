@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featherline.llm.arrays import mix, powers
+from featherline.llm.tables import keep
+
+#: A key is hot if it holds more than this part of all rows, so there are fewer hot keys than this number.
+HOT_PARTS = 2000
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -58,10 +62,16 @@ def context_groups(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFr
     either side), the columns of `place`, and others.  The first ones are returned
     only if another first one of the same anchor agrees with it on the left or on
     the right; a shared passage that holds the anchor reaches that far on one side.
+
+    The first places of hot keys, fewer than HOT_PARTS by counting, are broadcast, so that their rows
+    stay where they are; all other keys are joined, and none of them holds more than a
+    small part of the rows.
     """
-    spot = F.struct(*place)
-    first = rows.groupBy("anchor", "context").agg(F.min(spot).alias("_first"))
-    rows = rows.join(first, ["anchor", "context"])
+    spot, key = F.struct(*place), ["anchor", "context"]
+    limit = rows.count() // HOT_PARTS
+    found = keep(rows.groupBy(*key).agg(F.min(spot).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    hot, first = F.broadcast(found.where(F.col("_n") > limit + 1).drop("_n")), found.where(F.col("_n") <= limit + 1).drop("_n")
+    rows = rows.join(hot, key).unionByName(rows.join(first.hint("merge"), key))
     later = rows.where(spot > F.col("_first"))
     firsts = rows.where(spot <= F.col("_first")).drop("_first")
     sides = firsts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("half")), F.struct(F.lit(1).alias("side"), F.col("right").alias("half")))).alias("s"))

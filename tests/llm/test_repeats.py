@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from featherline.llm import substrings, suffixes
+from featherline.llm import anchors, substrings, suffixes
 from featherline.llm.induced import suffix_order
 
 SCHEMA = "doc_id long, text string, lang string, anchor string, first string, spans string"
@@ -134,3 +134,24 @@ def test_induced_order_in_memory_and_in_files(memory):
         text, cap = np.array(parts), int(rng.integers(3, 50))
         order, common = suffix_order(text, cap, memory)
         assert (list(order), list(common)) == plain_order(text, cap)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 2000])
+def test_hot_contexts_are_split_from_their_rows(spark, monkeypatch, parts):
+    monkeypatch.setattr(anchors, "HOT_PARTS", parts)
+    rng = np.random.default_rng(3)
+    keys = [(1, 1)] * 200 + [(int(a), int(c)) for a, c in rng.integers(0, 9, (300, 2))]
+    rows = [(a, c, c // 3, c % 3, int(rng.integers(0, 80)), i) for i, (a, c) in enumerate(keys)]
+    df = spark.createDataFrame(rows, "anchor long, context long, left int, right int, doc_id long, first int")
+    least = {}
+    for a, c, _, _, d, f in rows:
+        least[a, c] = min(least.get((a, c), (d, f)), (d, f))
+    later, alive = anchors.context_groups(df, ["doc_id", "first"])
+    want = sorted(r for r in rows if (r[4], r[5]) > least[r[0], r[1]])
+    columns = ["anchor", "context", "left", "right", "doc_id", "first"]
+    assert sorted(tuple(r) for r in later.select(columns).collect()) == want
+    firsts = [r for r in rows if (r[4], r[5]) == least[r[0], r[1]]]
+    agree = [r for r in firsts if any(o[0] == r[0] and o[1] != r[1] and (o[2] == r[2] or o[3] == r[3]) for o in firsts)]
+    assert sorted(tuple(r) for r in alive.select(columns).collect()) == sorted(agree)
+    if parts == 5:
+        assert "BroadcastHashJoin" in later._jdf.queryExecution().executedPlan().toString()
