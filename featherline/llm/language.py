@@ -30,7 +30,7 @@ FAMILIAR = 0.5
 #: Share of a language among the occurrences of a word of its lexicon, and least occurrences.
 LEXICON_SHARE, LEXICON_COUNT = 0.9, 3
 BITS, ORDERS, AFFIX = 15, (1, 2, 3, 4), 3
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
