@@ -46,6 +46,30 @@ def windows(data: bytes) -> list[bytes]:
     return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
 
+class Cut:
+    """The windows of several texts, as one buffer that zstandard compresses in one call."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        lengths = np.array([len(text) for text in texts], np.int64)
+        #: How many windows each text has, and where its first one is.
+        self.counts = np.maximum(1, -(-(lengths - WINDOW) // STEP) + 1)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        inside = STEP * (np.arange(int(self.counts.sum())) - np.repeat(self.firsts, self.counts))
+        sizes = np.minimum(np.repeat(lengths, self.counts) - inside, WINDOW)
+        # An empty window is as long with every dictionary.
+        self.filled = np.flatnonzero(sizes)
+        places = np.repeat(np.cumsum(lengths) - lengths, self.counts) + inside
+        self.data, self.segments = b"".join(texts), np.stack([places, sizes], axis=1)[self.filled].astype("=u8").tobytes()
+
+    def lengths(self, compressor: zstandard.ZstdCompressor) -> np.ndarray:
+        """Of the compressed windows; 0 for empty ones."""
+        out = np.zeros(int(self.counts.sum()), np.int64)
+        if len(self.filled):
+            packed = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(self.data, self.segments), threads=0)
+            out[self.filled] = np.fromiter(map(len, packed), np.int64, len(self.filled))
+        return out
+
+
 def _sequences(data: bytes) -> np.ndarray:
     """The numbers of all byte sequences of length SEQUENCE, by where they begin."""
     values = np.frombuffer(data, np.uint8).astype(np.uint64)
@@ -141,15 +165,14 @@ class Scorer:
                 data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 how = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_dict_id=False, write_checksum=False)
                 data.precompute_compress(compression_params=how)
-                out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=data).compress)
+                out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=data))
             self.compressors = tuple(out)
         return self.compressors
 
-    def differences(self, parts: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves against the ordinary one, window by window."""
+    def differences(self, cut: Cut) -> list[np.ndarray]:
+        """Bytes that the toxic dictionary saves against the ordinary one: of each text, window by window."""
         toxic, ordinary = self._ready()
-        count = len(parts)
-        return np.fromiter(map(len, map(ordinary, parts)), np.int64, count) - np.fromiter(map(len, map(toxic, parts)), np.int64, count)
+        return np.split(cut.lengths(ordinary) - cut.lengths(toxic), cut.firsts[1:])
 
     def set_thresholds(self, ordinary: list[np.ndarray]) -> None:
         """From the differences of ordinary texts."""
@@ -178,13 +201,13 @@ class Scorer:
                 break
         self.weights = w
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """texts: the windows of each."""
-        if not len(self.weights):
-            return np.full(len(texts), self.prior)
-        rows = np.array([self.features(self.differences(parts)) for parts in texts]).reshape(len(texts), -1)
+    def score(self, cut: Cut) -> np.ndarray:
+        count = len(cut.counts)
+        if not len(self.weights) or not count:
+            return np.full(count, self.prior)
+        rows = np.array([self.features(d) for d in self.differences(cut)])
         x = (np.clip(rows, self.least, self.most) - self.mean) / self.spread
-        return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(texts))] @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(count)] @ self.weights, -30, 30)))
 
 
 class Pair:
@@ -194,7 +217,7 @@ class Pair:
         self.scorers = scorers
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        cut = [windows(text) for text in texts]
+        cut = Cut(texts)
         return np.mean([scorer.score(cut) for scorer in self.scorers], axis=0)
 
 
@@ -212,7 +235,7 @@ def fit(sample: list[tuple[str, int]], totals: dict[int, int]) -> Pair:
         scorer = Scorer(*train_dictionaries(trained[1], trained[0]))
         scorer.prior = totals.get(1, 0) / max(1, sum(totals.values()))
         if texts[0] and texts[1]:
-            seen = {label: [scorer.differences(windows(t)) for t in held[label]] for label in (0, 1)}
+            seen = {label: [d for t in held[label] for d in scorer.differences(Cut([t]))] for label in (0, 1)}
             scorer.set_thresholds(seen[0])
             rows = np.array([scorer.features(d) for label in (0, 1) for d in seen[label]])
             labels = np.repeat([0, 1], [len(seen[0]), len(seen[1])])

@@ -170,3 +170,24 @@ def test_dictionaries_are_trained_on_what_is_typical():
     score = scorer.score([t.encode() for t, _ in fresh])
     assert np.mean((score >= 0.5) == [x == 1 for _, x in fresh]) > 0.9
     assert scorer.score([b""]).shape == (1,) and (scorer.score([b"", b"ba do"]) < 0.5).all()
+
+
+def test_windows_are_compressed_in_one_call_as_one_by_one():
+    texts = [b"", b"a", b"ba do ke li mu " * 9, b"x" * 32, b"", b"y" * 33, b"z" * 48, b"nasty words " * 30]
+    cut = toxicity.Cut(texts)
+    parts = [toxicity.windows(text) for text in texts]
+    assert cut.counts.tolist() == [len(x) for x in parts]
+    calls = []
+
+    class Once:
+        def multi_compress_to_buffer(self, data, threads):
+            calls.append([data[i].tobytes() for i in range(len(data))])
+            return calls[-1]
+
+    assert cut.lengths(Once()).tolist() == [len(w) for x in parts for w in x]
+    assert calls == [[w for x in parts for w in x if w]]
+    scorer = toxicity.Scorer(b"nasty words " * 100, b"ba do ke li mu " * 80)
+    toxic, ordinary = scorer._ready()
+    expected = [[len(ordinary.compress(w)) - len(toxic.compress(w)) for w in x] for x in parts]
+    assert [d.tolist() for d in scorer.differences(cut)] == expected and max(expected[-1]) > 0
+    assert toxicity.Cut([]).lengths(toxic).tolist() == [] and toxicity.Pair([scorer]).score([]).shape == (0,)
