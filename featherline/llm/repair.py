@@ -28,6 +28,20 @@ SHARE = 64
 HEAD = struct.Struct("<8s5Q")
 
 
+def _sorted_pairs(symbols: np.ndarray, places: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at the places, ascending, as left symbol * 2**32 + right symbol, and their places."""
+    left, right = symbols[places].astype(np.uint64), symbols[places + 1].astype(np.uint64)
+    wide, low = np.uint64(bound.bit_length()), np.uint64(len(symbols).bit_length())
+    if 2 * wide + low > 64:
+        pairs = left << np.uint64(32) | right
+        order = np.argsort(pairs)
+        return pairs[order], places[order]
+    # Sorting numbers is several times as fast as sorting their places.
+    packed = np.sort((left << wide | right) << low | places.astype(np.uint64))
+    pairs = packed >> low
+    return pairs >> wide << np.uint64(32) | pairs & ((np.uint64(1) << wide) - np.uint64(1)), (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left and right symbol of each), symbols, and the documents' ends among the symbols.
 
@@ -37,39 +51,45 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.nda
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)  # no pair begins at the end of a document
     last[ends[ends > 0] - 1] = True
+    # A pair never becomes more frequent: where a rare one begins, none is sought until a new symbol stands there.
+    alive = np.flatnonzero(~last[:-1])
     rules: list[np.ndarray] = []
     count = 0
     while len(symbols) > 1:
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(pairs[inside])
+        ordered, order = _sorted_pairs(symbols, alive, first_rule + count)
         at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         times = np.diff(np.r_[at, len(ordered)])
         top = int(times.max(initial=0))
         if top < LEAST_COUNT:
             break
-        chosen = ordered[at[times >= max(LEAST_COUNT, top // SHARE)]]
-        # Where chosen pairs stand: first by their two symbols alone, then exactly.
-        left, right = (np.zeros(first_rule + count, bool) for _ in range(2))
-        left[chosen >> np.uint64(32)] = True
-        right[chosen & np.uint64(0xFFFFFFFF)] = True
-        places = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inside)
-        rule = np.searchsorted(chosen, pairs[places])
-        match = chosen[np.minimum(rule, len(chosen) - 1)] == pairs[places]
-        places, rule = places[match], rule[match]
+        often = times >= max(LEAST_COUNT, top // SHARE)
+        chosen = ordered[at[often]]
+        # Where chosen pairs stand, in order of place, and which they are.
+        rule = np.repeat(np.arange(len(chosen)), times[often])
+        packed = np.sort(order[np.repeat(often, times)] << 32 | rule)
+        places, rule = packed >> 32, packed & 0xFFFFFFFF
         # Of overlapping places every second one stands, from the first of a run on.
         nth = np.arange(len(places))
         begins = np.r_[True, np.diff(places) != 1]
-        stands = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0
+        stands = (nth - np.maximum.accumulate(np.where(begins, nth, 0))) & 1 == 0
         places, rule = places[stands], rule[stands]
-        used, new = np.unique(rule, return_inverse=True)
+        used = np.bincount(rule, minlength=len(chosen)) > 0
+        new = first_rule + count - 1 + np.cumsum(used)
         rules.append(chosen[used])
-        symbols[places] = first_rule + count + new.astype(np.uint32)
+        symbols[places] = new[rule]
         last[places] = last[places + 1]
         stays = np.ones(len(symbols), bool)
         stays[places + 1] = False
-        symbols, last = symbols[stays], last[stays]
-        count += len(used)
+        # Where pairs may still be frequent: those that were, and on both sides of a new symbol.
+        sought = np.zeros(len(symbols), bool)
+        sought[order[np.repeat(times >= LEAST_COUNT, times)]] = True
+        kept = np.flatnonzero(stays)
+        symbols, last, sought = symbols[kept], last[kept], sought[kept]
+        made = places - np.arange(len(places))
+        sought[made] = True
+        sought[np.maximum(made, 1) - 1] = True
+        alive = np.flatnonzero(sought[:-1] & ~last[:-1])
+        count += int(used.sum())
     made = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     sides = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
     full = np.flatnonzero(last) + 1

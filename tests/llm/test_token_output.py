@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,50 @@ def test_frequent_pairs_become_rules():
         repair.TokenFile(b"x" * repair.HEAD.size)
 
 
+def plain_rules(documents, first_rule, least, share):
+    """The rounds of Re-Pair, with every pair of every round counted."""
+    documents, rules = [list(d) for d in documents], []
+    while True:
+        counts = Counter(pair for d in documents for pair in zip(d, d[1:]))
+        top = max(counts.values(), default=0)
+        if top < least:
+            return rules, [x for d in documents for x in d]
+        chosen = {pair for pair, n in counts.items() if n >= max(least, top // share)}
+        found = []
+        for d in documents:
+            found.append([])
+            for k, pair in enumerate(zip(d, d[1:])):
+                if pair in chosen and k - 1 not in found[-1]:
+                    found[-1].append(k)
+        used = sorted({(d[k], d[k + 1]) for d, at in zip(documents, found) for k in at})
+        number = {pair: first_rule + len(rules) + n for n, pair in enumerate(used)}
+        rules += used
+        documents = [[number[d[k], d[k + 1]] if k in at else x for k, x in enumerate(d) if k - 1 not in at] for d, at in zip(documents, found)]
+
+
+@pytest.mark.parametrize("first_rule", [9, 1 << 29])  # numbers of few bits are sorted with their places
+def test_pairs_found_rare_are_not_sorted_again(monkeypatch, first_rule):
+    rng = np.random.default_rng(3)
+    sorted_pairs, sizes = repair._sorted_pairs, []
+
+    def counted(symbols, places, bound):
+        sizes.append(len(places))
+        return sorted_pairs(symbols, places, bound)
+
+    monkeypatch.setattr(repair, "_sorted_pairs", counted)
+    for least, share in [(2, 1), (3, 4), (8, 64)]:
+        monkeypatch.setattr(repair, "LEAST_COUNT", least)
+        monkeypatch.setattr(repair, "SHARE", share)
+        documents = [rng.integers(0, 5, int(n)).tolist() for n in rng.integers(0, 40, 30)]
+        ids, ends = np.array([x for d in documents for x in d], np.uint32), np.cumsum([len(d) for d in documents])
+        sides, symbols, _ = repair.compress(ids, ends, first_rule)
+        assert ([*zip(*sides.tolist())], symbols.tolist()) == plain_rules(documents, first_rule, least, share)
+    sizes.clear()
+    once = np.arange(20_000)  # each pair of these is alone
+    repair.compress(np.r_[once, np.tile([20_001, 20_002], 50)].astype(np.uint32), np.array([20_100]), max(first_rule, 30_000))
+    assert sizes[0] == 20_099 and len(sizes) > 1 and max(sizes[1:]) < 200
+
+
 def test_documents_are_the_tokenizers(spark, monkeypatch):
     monkeypatch.setattr(token_output, "SHARD_TOKENS", 200)
     monkeypatch.setattr(token_output, "FILES_PER_BLOCK", 2)
