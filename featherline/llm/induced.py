@@ -198,6 +198,19 @@ def piece_names(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return names
 
 
+def _sorted_by(rank: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by rank, then second (from -1 on), and where one of them differs from that of the one before."""
+    n = len(rank)
+    low, mid, high = n.bit_length(), (int(second.max(initial=0)) + 1).bit_length(), int(rank.max(initial=0)).bit_length()
+    if low + mid + high < 64:  # sorting numbers is several times as fast as sorting their places
+        packed = np.sort((rank << mid | (second + 1)) << low | np.arange(n))
+        order, key = packed & ((1 << low) - 1), packed >> low
+        return order, np.append(False, key[1:] != key[:-1])
+    order = np.lexsort((second, rank))
+    rank, second = rank[order], second[order]
+    return order, np.append(False, (rank[1:] != rank[:-1]) | (second[1:] != second[:-1]))
+
+
 def sort_in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes that are not ends, and common prefixes, by doubling."""
     ends = text == 0
@@ -207,8 +220,7 @@ def sort_in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     while True:
         second = np.full(n, -1, np.int64)
         second[: n - width] = rank[width:] if width < n else 0
-        order = np.lexsort((second, rank))
-        new = np.append(False, (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1]))
+        order, new = _sorted_by(rank, second)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         if int(rank.max(initial=0)) == n - 1 or width >= n:

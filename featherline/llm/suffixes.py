@@ -27,6 +27,8 @@ from featherline.llm.tables import keep, with_texts
 LENGTH, GRAM = 100, 32
 #: Bytes of surroundings that a shard should hold, and memory of its sort before it goes to files.
 SHARD_BYTES, SORT_MEMORY = 4 << 20, 128 << 20
+#: Places of equal strings that are compared at a time.
+RUN_BLOCK = 1 << 20
 OCCURRENCES = "anchor long, context long, left int, right int, doc_id long, first int, last int"
 
 
@@ -102,20 +104,34 @@ def later_strings(text: np.ndarray, docs: np.ndarray, shift: np.ndarray, length:
     ends = np.flatnonzero(text == 0)
     docs_found, starts_found = [], []
     heads = np.flatnonzero(lcp < length)
-    tails = np.append(heads[1:], len(order))
-    long = tails - heads > 1
-    for b, e in zip(heads[long].tolist(), tails[long].tolist()):
-        for first in range(b, e, 1 << 20):  # a run may be longer than memory
-            part = np.asarray(order[first : min(e, first + (1 << 20))])
-            string = np.searchsorted(ends, part)
-            doc, start = docs[string], part + shift[string]
+    sizes = np.diff(np.append(heads, len(order)))
+    heads, sizes = heads[sizes > 1], sizes[sizes > 1]
+
+    def places(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        string = np.searchsorted(ends, part)
+        return docs[string], part + shift[string]
+
+    # Runs of equal strings, many at a time.
+    short = sizes <= RUN_BLOCK
+    block = np.cumsum(sizes[short]) // RUN_BLOCK
+    cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+    for b, n in zip(np.split(heads[short], cuts), np.split(sizes[short], cuts)) if len(block) else ():
+        first = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(n)), n)
+        doc, start = places(np.asarray(order[(b - first)[run] + np.arange(len(run))]))
+        best = np.minimum.reduceat(doc, first)[run]
+        best_start = np.minimum.reduceat(np.where(doc == best, start, np.iinfo(np.int64).max), first)[run]
+        after = (doc > best) | (start > best_start)  # none lies before the best document
+        docs_found.append(doc[after])
+        starts_found.append(start[after])
+    for b, n in zip(heads[~short].tolist(), sizes[~short].tolist()):  # such a run may be longer than memory
+        for first in range(b, b + n, RUN_BLOCK):
+            doc, start = places(np.asarray(order[first : min(b + n, first + RUN_BLOCK)]))
             k = np.lexsort((start, doc))[0]
-            best = (int(doc[k]), int(start[k])) if first == b else min(best, (int(doc[k]), int(start[k])))
-        for first in range(b, e, 1 << 20):
-            part = np.asarray(order[first : min(e, first + (1 << 20))])
-            string = np.searchsorted(ends, part)
-            doc, start = docs[string], part + shift[string]
-            after = (doc > best[0]) | ((doc == best[0]) & (start > best[1]))
+            least = (int(doc[k]), int(start[k])) if first == b else min(least, (int(doc[k]), int(start[k])))
+        for first in range(b, b + n, RUN_BLOCK):
+            doc, start = places(np.asarray(order[first : min(b + n, first + RUN_BLOCK)]))
+            after = (doc > least[0]) | ((doc == least[0]) & (start > least[1]))
             docs_found.append(doc[after])
             starts_found.append(start[after])
     empty = np.zeros(0, np.int64)

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from featherline.llm import anchors, substrings, suffixes
+from featherline.llm import anchors, induced, substrings, suffixes
 from featherline.llm.induced import suffix_order
 
 SCHEMA = "doc_id long, text string, lang string, anchor string, first string, spans string"
@@ -155,3 +155,35 @@ def test_hot_contexts_are_split_from_their_rows(spark, monkeypatch, parts):
     assert sorted(tuple(r) for r in alive.select(columns).collect()) == sorted(agree)
     if parts == 5:
         assert "BroadcastHashJoin" in later._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_equal_strings_are_compared_many_runs_at_a_time(monkeypatch, block):
+    monkeypatch.setattr(suffixes, "RUN_BLOCK", block)
+    rng = np.random.default_rng(block)
+    for length in (2, 3, 6):
+        strings = [rng.integers(1, 3, int(n)).tolist() for n in rng.integers(1, 40, 12)]
+        docs, firsts = rng.integers(-2, 4, len(strings)), rng.integers(0, 9, len(strings))
+        text = np.array([x for s in strings for x in (*s, 0)], np.uint16)
+        begins = np.cumsum([0, *(len(s) + 1 for s in strings)])[:-1]
+        places = {}
+        for s, doc, first in zip(strings, docs.tolist(), firsts.tolist()):
+            for k in range(len(s) - length + 1):
+                places.setdefault(tuple(s[k : k + length]), []).append((doc, first + k))
+        expected = sorted(p for found in places.values() for p in found if p > min(found))
+        calls, lexsort = [], np.lexsort
+        with monkeypatch.context() as patch:
+            patch.setattr(np, "lexsort", lambda *x: calls.append(x) or lexsort(*x))
+            doc, start = suffixes.later_strings(text, docs, firsts - begins, length, 1 << 20)
+        assert sorted(zip(doc.tolist(), start.tolist())) == expected and len(expected) > 20
+        assert block < 1 << 20 or len(calls) < 10  # none for each run
+
+
+def test_two_keys_are_sorted_alike_with_few_and_many_bits():
+    rng = np.random.default_rng(5)
+    rank, second = rng.integers(0, 9, 300), rng.integers(-1, 4, 300)
+    for scale in (1, 1 << 52):
+        order, differs = induced._sorted_by(rank * scale, second)
+        pairs = [*zip(rank[order].tolist(), second[order].tolist())]
+        assert order.tolist() == np.lexsort((second, rank)).tolist()
+        assert differs.tolist() == [False, *(a != b for a, b in zip(pairs[1:], pairs))]
