@@ -30,16 +30,26 @@ HEAD = struct.Struct("<8s5Q")
 
 def _sorted_pairs(symbols: np.ndarray, places: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that begin at the places, ascending, as left symbol * 2**32 + right symbol, and their places."""
-    left, right = symbols[places].astype(np.uint64), symbols[places + 1].astype(np.uint64)
-    wide, low = np.uint64(bound.bit_length()), np.uint64(len(symbols).bit_length())
-    if 2 * wide + low > 64:
-        pairs = left << np.uint64(32) | right
-        order = np.argsort(pairs)
-        return pairs[order], places[order]
+    one, half, wide, low = np.uint64(1), np.uint64(32), np.uint64(bound.bit_length()), np.uint64(len(symbols).bit_length())
+    fits = 2 * wide + low <= 64
+    # In place, for new memory takes about as long as the sorting.
+    packed = symbols[places].astype(np.uint64)
+    packed <<= wide if fits else half
+    packed |= symbols[places + 1]
+    if not fits:
+        order = np.argsort(packed)
+        return packed[order], places[order]
     # Sorting numbers is several times as fast as sorting their places.
-    packed = np.sort((left << wide | right) << low | places.astype(np.uint64))
+    packed <<= low
+    packed |= places.view(np.uint64)
+    packed.sort()
     pairs = packed >> low
-    return pairs >> wide << np.uint64(32) | pairs & ((np.uint64(1) << wide) - np.uint64(1)), (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    right = pairs & ((one << wide) - one)
+    pairs >>= wide
+    pairs <<= half
+    pairs |= right
+    packed &= (one << low) - one
+    return pairs, packed.view(np.int64)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +178,8 @@ class TokenFile:
         place = np.cumsum(size) - size - first
         while len(symbols):
             covers = (place < count) & (place + size > 0)
-            symbols, place = symbols[covers], place[covers]
+            if not covers.all():
+                symbols, place = symbols[covers], place[covers]
             made = symbols >= self.first_rule
             out[place[~made]] = symbols[~made]
             rule, place = symbols[made] - self.first_rule, place[made]

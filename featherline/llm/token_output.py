@@ -26,6 +26,8 @@ from featherline.llm.tokens import byte_encoder
 SHARD_TOKENS = 1 << 20
 #: Files whose lengths are summed as one in the first step of the prefix sum.
 FILES_PER_BLOCK = 4096
+#: Files that one task decodes, one after the other, about.
+FILES_PER_TASK = 8
 FILES = "part int, nth int, file string"
 HEADS = "part int, nth int, file string, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -77,9 +79,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, first_rule:
 
 
 def _each_file(files: DataFrame, run, schema: str) -> DataFrame:
-    """Files dealt to tasks, one by one."""
+    """Files dealt to tasks, about FILES_PER_TASK each; a task has one file in memory at a time."""
     count = files.count()
-    return files.repartition(max(1, count)).mapInArrow(run, schema) if count else files.sparkSession.createDataFrame([], schema)
+    return files.repartition(-(-count // FILES_PER_TASK)).mapInArrow(run, schema) if count else files.sparkSession.createDataFrame([], schema)
 
 
 def with_starts(files: DataFrame, folder: str) -> DataFrame:

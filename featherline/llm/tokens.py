@@ -3,9 +3,11 @@
 A text is cut at blanks that the tokenizer itself never looks across, and the identifiers
 of a part are kept by the worker, so that a repeated word costs one look-up.  New parts of
 ASCII and Latin letters alone, on whose classes and cases all Unicode tables agree, are
-cut into pieces here, for the library's model; all others go through the whole library as
-they are, many at a time.  Only speed depends on what is kept: at most `CACHED_BYTES`, of
-parts of at most `CACHED_LENGTH` characters each.
+cut into pieces here, for the library's model, and a word with marks behind it shares what
+is kept of the word; all others go through the whole library as they are.  Only speed depends
+on what is kept: at most `CACHED_BYTES`, of parts of at most `CACHED_LENGTH` characters
+each, in two generations.  What is met again while it is of the older one becomes of the
+younger one; when that is full, the older one goes.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ SLICE = 1 << 20
 _UNSURE = re.compile("[\x1c-\x1f\x85]").search  # white space to Python alone, or not to all
 _BLANK = re.compile(r"(?<!\s) (?!\s)")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_LATIN = re.compile(rf"[\x21-\x7e{_LETTERS}]+\Z").match
-#: The patterns of the two files, as far as Latin parts without white space inside go.
+_LATIN = re.compile(rf"[\n\x21-\x7e{_LETTERS}]+\Z").match
+#: The patterns of the two files, as far as Latin parts without white space inside but line feeds go.
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
-BLANK_PIECES = re.compile(rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+").findall
+BLANK_PIECES = re.compile(rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|\n+(?!.)|\n").findall
 
 
 class Kind(NamedTuple):
@@ -46,6 +48,20 @@ WORDS = Kind(WORD_PIECES, "", True)
 BLANKS = Kind(BLANK_PIECES, " ", False)
 
 
+class Parts(dict):
+    """Identifiers by part; those of a missing part are made."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        return self.make(part)
+
+
+class BlankEdge(Exception):
+    """A part that is empty, or begins or ends with white space."""
+
+
 class Encoder:
     """Little-endian unsigned 32-bit identifiers of whole texts.
 
@@ -62,51 +78,87 @@ class Encoder:
         if any(x.normalized or x.single_word or x.lstrip or x.rstrip or x.content.split() != [x.content] for x in tokens):
             raise ValueError(f"added tokens that are not plain texts: {path}")
         self.marks = {x.content[0] for x in tokens}
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = kind
         # The byte-level alphabet: printable characters stand for themselves, the others follow from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
-        self.used = 0
+        letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        latin = [c for c in map(chr, range(256)) if c in " \n" or _LATIN(c)]
+        self.letters = {ord(c): "".join(letters.get(b, chr(b)) for b in c.encode()) for c in latin}
+        # Parts of two pieces at most, whatever the kind: letters, and other characters behind them.
+        first = "".join(re.escape(c) for c in latin if c.isalpha() and c not in self.marks)
+        behind = "".join(re.escape(c) for c in latin if not (c.isalnum() or c.isspace() or c in self.marks))
+        self.word = re.compile(rf"([{first}]+)([{behind}]*)\Z").match
+        self.lead = kind.lead.translate(self.letters)
+        self.edges = False
+        self._age({})
+
+    def _age(self, older: dict[str, bytes]) -> None:
+        self.known, self.older, self.known_pieces, self.used = Parts(self._part), older, Parts(self._piece), 0
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _model(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece.translate(self.letters))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Identifiers of letters alone, in lower case where the kind asks for it."""
+        if word.isascii():
+            return array("I", [t.id for t in self.tokenize(self.lead + word)]).tobytes()
+        return self._model(self.kind.lead + word)
+
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        ids = self._model(piece)
         if len(piece) <= CACHED_LENGTH:
             self.known_pieces[piece] = ids
             self.used += ENTRY_BYTES + 2 * len(piece) + len(ids)
         return ids
 
-    def _new(self, parts: set[str]) -> dict[str, bytes]:
-        """Identifiers of parts that are not kept."""
-        out, others = {}, []
-        known, make, (pieces, lead, lower), marks = self.known_pieces.get, self._piece, self.kind, self.marks
-        for part in parts:
-            if _LATIN(part) and marks.isdisjoint(part):
-                found = pieces(part.lower() if lower else lead + part)
-                out[part] = b"".join([known(x) or make(x) for x in found])
+    def _part(self, part: str) -> bytes:
+        """Identifiers of a part that is not of the younger generation."""
+        ids = self.older.get(part)
+        if ids is None:
+            _, lead, lower = self.kind
+            if found := self.word(part):
+                first, behind = found.groups()
+                if lower:
+                    first = first.lower()
+                ids = self._word(part) if first == part else self.known[first]
+                if behind:
+                    ids += self.known_pieces[behind]
+            elif lead and (not part or part[0].isspace() or part[-1].isspace()):
+                if not self.edges:
+                    raise BlankEdge
+                return self._other(part)  # only parts that neither begin nor end with white space are kept
             else:
-                others.append(part)
-        return out | dict(zip(others, self._ids([lead + part for part in others])))
-
-    def _cut(self, text: str) -> tuple[list[str], list[bytes | None]]:
-        """Parts of a text, and their identifiers where these are kept."""
-        if self.kind.lead:
-            parts = text.split(" ")
-            ids = list(map(self.known.get, parts))
-            # Only parts that neither begin nor end with white space are kept.
-            if any(x is None and (not part or part[0].isspace() or part[-1].isspace()) for part, x in zip(parts, ids)):
-                parts = _BLANK.split(text)
-                ids = list(map(self.known.get, parts))
-            return parts, ids
-        parts = re.split(r"[ \t\n\r]", text) if _UNSURE(text) else text.split()
-        return parts, list(map(self.known.get, parts))
+                ids = self._other(part)
+        if len(part) <= CACHED_LENGTH:
+            self.known[part] = ids
+            self.used += ENTRY_BYTES + 2 * len(part) + len(ids)
+        return ids
+
+    def _other(self, part: str) -> bytes:
+        pieces, lead, lower = self.kind
+        if _LATIN(part) and self.marks.isdisjoint(part):
+            return b"".join(map(self.known_pieces.__getitem__, pieces(part.lower() if lower else lead + part)))
+        return self._ids([lead + part])[0]
+
+    def _behind(self, text: str) -> tuple[str, bytes]:
+        """With a blank before all other parts, the first part, which has none; and the identifiers of the others."""
+        if not self.kind.lead:
+            parts = re.split(r"[ \t\n\r]", text) if _UNSURE(text) else text.split()
+            return "", b"".join(map(self.known.__getitem__, parts))
+        first, *parts = text.split(" ")
+        self.edges = first[-1:].isspace()
+        try:
+            if not self.edges:
+                return first, b"".join(map(self.known.__getitem__, parts))
+        except BlankEdge:
+            self.edges = True
+        first, *parts = _BLANK.split(text)
+        return first, b"".join(map(self.known.__getitem__, parts))
 
     def _slices(self, text: str) -> Iterator[str]:
         first = 0
@@ -117,25 +169,10 @@ class Encoder:
             first = last
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        # With a blank before all others, a first part has none and is not kept.
-        starts = self._ids([parts[0] for parts, _ in cut]) if self.kind.lead else None
-        new = self._new({part for parts, ids in cut if None in ids for part, x in zip(parts, ids) if x is None})
-        out = []
-        for k, (parts, ids) in enumerate(cut):
-            if None in ids:
-                ids = [new[part] if x is None else x for part, x in zip(parts, ids)]
-            if starts is not None:
-                ids[0] = starts[k]
-            out.append(b"".join(ids))
-        kept = {part: ids for part, ids in new.items() if 0 < len(part) <= CACHED_LENGTH and not (part[0].isspace() or part[-1].isspace())}
-        self.used += sum(ENTRY_BYTES + 2 * len(part) + len(ids) for part, ids in kept.items())
-        self.known |= kept
-        if self.used > CACHED_BYTES:
-            self.known.clear()
-            self.known_pieces.clear()
-            self.used = 0
-        return out
+        firsts, out = zip(*map(self._behind, texts)) if texts else ((), ())
+        if self.used > CACHED_BYTES // 2:
+            self._age(self.known)
+        return list(map(bytes.__add__, self._ids(list(firsts)), out)) if self.kind.lead else list(out)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The identifiers of each text; texts of some megabytes in all are best at a time."""

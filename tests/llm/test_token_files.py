@@ -67,6 +67,22 @@ def test_identifiers_are_the_librarys(monkeypatch, path, added, cached):
     assert encoder.encode(whole) == np.array(tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("make", [lambda: tokens.byte_encoder.__wrapped__(BYTES), lambda: tokens.word_encoder.__wrapped__(TOKENIZER, False)])
+def test_words_met_again_are_not_made_again(monkeypatch, make):
+    """However many words come once, those that come in each text stay, and marks behind a word cost nothing."""
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 40_000)
+    encoder, calls = make(), []
+    tokenize = encoder.tokenize
+    monkeypatch.setattr(encoder, "tokenize", lambda piece: calls.append(piece) or tokenize(piece))
+    once = iter(f"{a}{b}{c}qx" for a in "abcdefghijklmno" for b in "abcdefghijklmno" for c in "abcdefghij")
+    often = ["frequently", "fa\u00e7ade", "words"]
+    for _ in range(100):
+        text = " ".join(["first", *(next(once) for _ in range(20)), *often, *(f"{x}," for x in often)])
+        assert encoder.encode(text) == encoder._ids([text])[0]
+    assert encoder.used <= 40_000
+    assert len(calls) <= 2000 + 20 + 60  # besides the others: each frequent word once, a comma in each generation
+
+
 def test_only_named_files_are_read(spark, tmp_path):
     (tmp_path / "a.tokens").write_bytes(np.array([5, 0, 6, 7, 0], "<u2").tobytes())
     (tmp_path / "killed.tokens").write_bytes(b"abc")
